@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roleloom.llm.common import materialize, read_table
+from roleloom.llm.common import materialize, read_table, scratch
 from roleloom.llm.jaccard import jaccard_components
 from roleloom.llm.langid import UNKNOWN, predict, train
 from roleloom.llm.mixing import sample_documents
@@ -34,11 +34,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates (5-word shingles, Jaccard similarity 0.8) the smallest doc_id."""
-    found = jaccard_components(docs, k=5, threshold=Fraction(4, 5))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    with scratch(spark):
+        found = jaccard_components(docs, k=5, threshold=Fraction(4, 5))
+        gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone", outer=True)
     names = [f"`{c}`" for c in docs.columns]
     # repeated rows of one id are copies too: one of them stays
-    once = docs.join(materialize(gone, "gone"), "doc_id", "left_anti")
+    once = docs.join(gone, "doc_id", "left_anti")
     again = once.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     several = once.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.join(again, "doc_id", "left_anti").select(*names).union(several.select(*names))

@@ -7,16 +7,32 @@ costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textscan import tidied
+
 #: Rows up to which an id list may be broadcast (8 bytes a row); larger lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: whole texts may be long.
+BATCH_ROWS = "1000"
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow in batches of bounded rows that leaves no unused memory in the workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(tidied(run), schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,8 +59,15 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again; the files go when the application ends."""
+_SCOPES: list[list[DataFrame]] = []
+
+
+def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again.
+
+    The files go with the innermost ``scratch`` block (with ``outer``: the one
+    around it), else when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
@@ -52,6 +75,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    depth = len(_SCOPES) - outer
+    if depth > 0:
+        _SCOPES[depth - 1].append(out)
     return out
 
 
@@ -62,6 +88,24 @@ def release(df: DataFrame | None) -> None:
         fs.delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop the shuffle files of finished steps: it follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialized inside are dropped at the end, but for those made with ``outer``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            release(df)
+        sweep(spark)
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids``: broadcast up to BROADCAST_ROWS ids, by shuffle beyond."""
     side = F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids

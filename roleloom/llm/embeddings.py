@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, map_arrow, materialize, scratch
 
 TREES = 6
 #: Vectors sampled to fit the trees, and the leaf size aimed at in the whole table.
@@ -156,6 +156,11 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, sample: int = S
     components); a null vec_id is not linked and gives a row with null component.
     Trees are fitted on at most ``sample`` vectors; every row is indexed.
     """
+    with scratch(vectors.sparkSession):
+        return materialize(_links(vectors, threshold, sample, leaf, trees), "embedding-links", outer=True)
+
+
+def _links(vectors: DataFrame, threshold: float, sample: int, leaf: int, trees: int) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("bigint").alias("label"))
     first = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("r")).select("vec_id", "r.label", "r.v")
@@ -175,7 +180,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, sample: int = S
             got = got.chunk(0) if isinstance(got, pa.ChunkedArray) else got
             forests[dim] = Forest(_unit(got, dim), max(16.0, leaf * len(got) / n), trees)
     held = spark.sparkContext.broadcast(forests)
-    routed = materialize(good.mapInArrow(_router(held), "vec_id bigint, v array<double>, label bigint, dim int, leaves array<int>"), "routed")
+    routed = materialize(map_arrow(good, _router(held), "vec_id bigint, v array<double>, label bigint, dim int, leaves array<int>"), "routed")
     placed = routed.withColumn("leaf", F.explode("leaves"))
     counts = placed.groupBy("label", "dim", "leaf").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     placed = placed.join(counts.where("count > 1").drop("count"), ["label", "dim", "leaf"])

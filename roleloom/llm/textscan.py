@@ -9,6 +9,8 @@ pair).
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +25,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 2**64)
 K1, K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text scanned at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _POW: dict[int, np.ndarray] = {}
 
@@ -126,3 +128,19 @@ def long_lists(parts: list[np.ndarray], kind=np.int64) -> pa.Array:
     np.cumsum([len(p) for p in parts], out=offs[1:])
     flat = np.concatenate(parts) if parts else np.empty(0, kind)
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(kind) if flat.dtype != kind else flat))
+
+
+def tidied(run):
+    """A mapInArrow function that hands the worker's unused memory back at the end of a task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
