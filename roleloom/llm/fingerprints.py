@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 P = np.int64(2**31 - 1)
 BASES = (1_000_003 * 977 % (2**31 - 1), 1_618_033_989)
 GRAM = 12
@@ -295,4 +297,4 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     ).select("doc_id", "text", "to.bucket", "to.borrowed")
     dealt = routed.repartitionById(max(1, len(tops)), F.col("bucket").cast("int"))
     ordered = dealt.sortWithinPartitions("bucket", "borrowed", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    return ordered.mapInArrow(_edited_rows, SCHEMA)
+    return map_arrow(ordered, _edited_rows, SCHEMA)

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, numbered, renamed_back
+from .common import ddl, map_arrow, numbered, renamed_back
 from .textscan import text_views
 
 #: Longest context, in bytes.
@@ -148,7 +148,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, contexts: int = CONTEXTS) -> Mo
         return Model([], {})
     share = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
     picked = rows.where((F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")])
-    grams = picked.select("lang", "text").mapInArrow(_count, "lang string, ord int, gram bigint, n bigint").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
+    grams = map_arrow(picked.select("lang", "text"), _count, "lang string, ord int, gram bigint, n bigint").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[bytes, dict[int, int]]] = {lang: defaultdict(dict) for lang, _ in sizes}
     got = grams.toPandas()
     for lang, order, gram, n in got.itertuples(index=False, name=None):
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang_
     held = spark.sparkContext.broadcast(model)
     data = docs.select(*numbered(docs), F.col("text").cast("string").alias("_text"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    out = data.mapInArrow(_predictor(held, names), f"{ddl(docs)}, _pred string, _score double, _bits double")
+    out = map_arrow(data, _predictor(held, names), f"{ddl(docs)}, _pred string, _score double, _bits double")
     return renamed_back(out, docs, *(F.col(c).alias(n) for c, n in zip(("_pred", "_score", "_bits"), added, strict=True)))
 
 

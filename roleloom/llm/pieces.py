@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 from .textscan import BASE, BASE_INV, BYTE, mix, powers, text_views
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of new chunks matched at once, and chunks remembered by a Python worker.
-BLOCK, REMEMBER = 400_000, 500_000
+BLOCK, REMEMBER = 150_000, 300_000
 SPACE = "▁"
 WIDEST = 16
 
@@ -362,7 +364,7 @@ def _encode(held):
             enc = _ENCODERS[getattr(held, "id", id(held))] = Encoder(held.value)
         for batch in batches:
             names = batch.schema.names[:-1]
-            for first, count, data, offs in text_views(batch.column(len(names))):
+            for first, count, data, offs in text_views(batch.column(len(names)), 1 << 20):
                 ids, at = enc(data, offs)
                 back, back_at = decode_ids(enc.v, ids, at)
                 raw, now = back.tobytes(), data.tobytes()
@@ -397,7 +399,7 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL, carry: tuple[str,
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
     fields = ", ".join(f"`{c}` {kind[c]}" for c in carry)
-    return rows.mapInArrow(_encode(held), f"{fields}, n_tokens bigint, token_ids array<int>, decoded_sha256 string, round_trip boolean")
+    return map_arrow(rows, _encode(held), f"{fields}, n_tokens bigint, token_ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def _decode(held):
@@ -419,4 +421,4 @@ def decode_documents(rows: DataFrame, model_file: str = MODEL, id_col: str = "do
     """``doc_id, text`` of ``rows(doc_id, token_ids)``."""
     held = rows.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select(id_col, F.col("token_ids").cast("array<int>")).mapInArrow(_decode(held), f"`{id_col}` {kind[id_col]}, text string")
+    return map_arrow(rows.select(id_col, F.col("token_ids").cast("array<int>")), _decode(held), f"`{id_col}` {kind[id_col]}, text string")

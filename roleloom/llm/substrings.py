@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_at, ddl, materialize, numbered, renamed_back
+from .common import column_at, ddl, map_arrow, materialize, numbered, renamed_back, scratch
 from .textscan import BASE, BASE_INV, mix, powers, text_views, words
 
 WINDOW = 50
+#: Bytes of range lists up to which they are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 #: Rounds of recompression.
 ROUNDS = 3
 
@@ -152,9 +154,9 @@ def _window_rows(batches):
             span = _spans(h)
             docs, starts = [], []
             for i in range(count):
-                for r in ranges[f + i].as_py():
-                    starts.append(np.arange(r["p"], r["p"] + r["n"]))
-                    docs.append(np.full(r["n"], i))
+                for p, n in _unpacked(ranges[f + i].as_py()):
+                    starts.append(np.arange(p, p + n))
+                    docs.append(np.full(n, i))
             if not docs:
                 continue
             d, p = np.concatenate(docs), np.concatenate(starts)
@@ -164,15 +166,32 @@ def _window_rows(batches):
             )
 
 
+def _packed():
+    """A range (p, n) as one number; lists of numbers are a quarter of lists of structs."""
+    return F.shiftleft(F.col("p").cast("bigint"), 32) + F.col("n")
+
+
+def _unpacked(ranges: list[int] | None):
+    return [(r >> 32, r & 0xFFFFFFFF) for r in ranges or ()]
+
+
+def _with_lists(df: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Joins ``lists(row, ranges)``: broadcast only if their size, measured first, allows."""
+    rows, numbers = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
+    small = 48 * rows + 8 * numbers <= BROADCAST_BYTES
+    return df.join(F.broadcast(lists) if small else lists, "row", how)
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, ranges``: for each text with repeats the windows ``(first word, count)`` that start in a smaller doc_id.
+    """``doc_id, row, ranges``: for each text with repeats the windows that start in a smaller doc_id, as packed ``(first word, count)``.
 
     ``row`` is a hash of doc_id and text and tells rows of one id apart.
     """
     base = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    segs = materialize(base.mapInArrow(_segment_rows, "x bigint, k bigint, doc_id bigint, row bigint, p int, n int"), "segments")
+    segs = materialize(map_arrow(base, _segment_rows, "x bigint, k bigint, doc_id bigint, row bigint, p int, n int"), "segments")
     by_symbol = segs.groupBy("x").agg(F.min("doc_id").alias("x0"), F.max("doc_id").alias("x1")).where("x0 < x1")
-    live = materialize(segs.join(by_symbol.select("x"), "x"), "live")
+    # the joined tables are written first: a join of stored tables can be split at a hot key
+    live = materialize(segs.join(materialize(by_symbol.select("x"), "symbols"), "x"), "live")
     contents = live.groupBy("x", "k").agg(F.min(F.struct("doc_id", "row", "p", "n")).alias("s"))
     contents = materialize(contents, "contents")
     whole = (
@@ -180,22 +199,20 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     )
     # symbols with several contents: one segment of each is compared window by window
     several = contents.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
-    firsts = contents.join(several, "x").select("s.*")
-    asked = materialize(firsts.groupBy("doc_id", "row").agg(F.collect_set(F.struct("p", "n")).alias("ranges")), "asked")
-    n = asked.count()
-    side = asked.select("row", "ranges")
-    texts = base.join(F.broadcast(side) if n <= BROADCAST_ROWS // 8 else side, "row").select("doc_id", "row", "text", "ranges")
-    windows = materialize(texts.mapInArrow(_window_rows, "w bigint, doc_id bigint, row bigint, p int"), "windows")
+    firsts = contents.join(materialize(several, "several"), "x").select("s.*")
+    asked = materialize(firsts.groupBy("doc_id", "row").agg(F.collect_set(_packed()).alias("ranges")), "asked")
+    texts = _with_lists(base, asked.select("row", "ranges"), "inner").select("doc_id", "row", "text", "ranges")
+    windows = materialize(map_arrow(texts, _window_rows, "w bigint, doc_id bigint, row bigint, p int"), "windows")
     least = windows.groupBy("w").agg(F.min("doc_id").alias("w0"), F.max("doc_id").alias("w1")).where("w0 < w1").select("w", "w0")
-    single = windows.join(least, "w").where("doc_id > w0").select("doc_id", "row", "p", F.lit(1).alias("n"))
-    return whole.union(single).groupBy("doc_id", "row").agg(F.collect_set(F.struct("p", "n")).alias("ranges"))
+    single = windows.join(materialize(least, "least"), "w").where("doc_id > w0").select("doc_id", "row", "p", F.lit(1).alias("n"))
+    return whole.union(single).groupBy("doc_id", "row").agg(F.collect_set(_packed()).alias("ranges"))
 
 
 def _covered(n_words: int, ranges) -> np.ndarray:
     mark = np.zeros(n_words + 1, np.int64)
-    for r in ranges or ():
-        mark[r["p"]] += 1
-        mark[min(n_words, r["p"] + r["n"] - 1 + WINDOW)] -= 1
+    for p, n in _unpacked(ranges):
+        mark[p] += 1
+        mark[min(n_words, p + n - 1 + WINDOW)] -= 1
     return np.cumsum(mark[:-1]) > 0
 
 
@@ -249,11 +266,11 @@ def _finish(names: list[str], texts: str = ""):
 def _with_ranges(docs: DataFrame, columns: list) -> DataFrame:
     """``columns`` of every row, its text and the ranges of its repeated windows (null: none)."""
     doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
-    base = docs.select(*columns, text.alias("_text"), F.xxhash64(doc_id, text).alias("_row"))
-    found = repeated_ranges(docs.select(doc_id.alias("doc_id"), text.alias("text")))
-    found = materialize(found.select(F.col("row").alias("_row"), F.col("ranges").alias("_ranges")), "ranges")
-    n = found.count()
-    return base.join(F.broadcast(found) if n <= BROADCAST_ROWS // 8 else found, "_row", "left").drop("_row")
+    base = docs.select(*columns, text.alias("_text"), F.xxhash64(doc_id, text).alias("row"))
+    with scratch(docs.sparkSession):
+        found = repeated_ranges(docs.select(doc_id.alias("doc_id"), text.alias("text")))
+        found = materialize(found.select("row", "ranges"), "ranges", outer=True)
+    return _with_lists(base, found, "left").withColumnRenamed("ranges", "_ranges").drop("row")
 
 
 def removed_repeats(docs: DataFrame) -> DataFrame:
@@ -267,7 +284,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
     each other.  An empty table gives no row.
     """
     data = _with_ranges(docs, [F.col("doc_id").cast("bigint").alias("doc_id")])
-    return data.mapInArrow(_finish(["doc_id"]), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_arrow(data, _finish(["doc_id"]), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -279,7 +296,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     data = _with_ranges(docs, numbered(docs))
     text = column_at(docs, "text")
     fields = ddl(docs.withColumn("text", F.col("text").cast("string")))
-    out = data.mapInArrow(_finish([f"c{i}" for i in range(len(docs.columns))], text), f"{fields}, _removed bigint")
+    out = map_arrow(data, _finish([f"c{i}" for i in range(len(docs.columns))], text), f"{fields}, _removed bigint")
     out = out.where((F.col("_removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         n = column_at(docs, "n_chars")
