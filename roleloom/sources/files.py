@@ -18,7 +18,7 @@ FRAME = (
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-01: one row for each non-blank line of the .txt and .md files; a .md file hides a .txt file of its name."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").text(folder).select("value", F.col("_metadata.file_name").alias("name"))
+    raw = spark.read.option("pathGlobFilter", "*.{txt,md}").text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
     doc = raw.select(F.regexp_extract("name", r"^(.*)\.(txt|md)$", 1).alias("doc_id"), F.regexp_extract("name", r"\.(txt|md)$", 1).alias("kind"), "value")
     one = doc.groupBy("doc_id").agg(F.max_by("value", F.col("kind") == "md").alias("value"))
     lines = one.select("doc_id", F.filter(F.transform(F.split("value", r"\R"), text.strip), lambda x: x != "").alias("lines"))
