@@ -29,8 +29,6 @@ from .common import column_at, ddl, map_arrow, materialize, numbered, renamed_ba
 from .textscan import BASE, BASE_INV, mix, powers, text_views, words
 
 WINDOW = 50
-#: Bytes of range lists up to which they are broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 8 << 20
 #: Rounds of recompression.
 ROUNDS = 3
 
@@ -175,13 +173,6 @@ def _unpacked(ranges: list[int] | None):
     return [(r >> 32, r & 0xFFFFFFFF) for r in ranges or ()]
 
 
-def _with_lists(df: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Joins ``lists(row, ranges)``: broadcast only if their size, measured first, allows."""
-    rows, numbers = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
-    small = 48 * rows + 8 * numbers <= BROADCAST_BYTES
-    return df.join(F.broadcast(lists) if small else lists, "row", how)
-
-
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``doc_id, row, ranges``: for each text with repeats the windows that start in a smaller doc_id, as packed ``(first word, count)``.
 
@@ -201,7 +192,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     several = contents.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
     firsts = contents.join(materialize(several, "several"), "x").select("s.*")
     asked = materialize(firsts.groupBy("doc_id", "row").agg(F.collect_set(_packed()).alias("ranges")), "asked")
-    texts = _with_lists(base, asked.select("row", "ranges"), "inner").select("doc_id", "row", "text", "ranges")
+    texts = base.join(asked.select("row", "ranges"), "row").select("doc_id", "row", "text", "ranges")
     windows = materialize(map_arrow(texts, _window_rows, "w bigint, doc_id bigint, row bigint, p int"), "windows")
     least = windows.groupBy("w").agg(F.min("doc_id").alias("w0"), F.max("doc_id").alias("w1")).where("w0 < w1").select("w", "w0")
     single = windows.join(materialize(least, "least"), "w").where("doc_id > w0").select("doc_id", "row", "p", F.lit(1).alias("n"))
@@ -270,7 +261,7 @@ def _with_ranges(docs: DataFrame, columns: list) -> DataFrame:
     with scratch(docs.sparkSession):
         found = repeated_ranges(docs.select(doc_id.alias("doc_id"), text.alias("text")))
         found = materialize(found.select("row", "ranges"), "ranges", outer=True)
-    return _with_lists(base, found, "left").withColumnRenamed("ranges", "_ranges").drop("row")
+    return base.join(found, "row", "left").withColumnRenamed("ranges", "_ranges").drop("row")
 
 
 def removed_repeats(docs: DataFrame) -> DataFrame:
