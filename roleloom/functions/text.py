@@ -164,6 +164,65 @@ def valid_score(raw: Column) -> Column:
     return F.when(n.between(1, 100), n)
 
 
+# What a date or duration, and what a place, looks like.
+TIME_PATTERN = r"\d{4}|\d{1,2}:\d{2}|\b(january|february|march|april|may|june|july|august|september|october|november|december)\b|\b(mon|tues|wednes|thurs|fri|satur|sun)day\b|\b(second|minute|hour|day|week|month|year|morning|evening|night|yesterday|today|tomorrow)s?\b"
+PLACE_PATTERN = r"\b(city|town|village|house|room|institute|university|forest|river|garden|palace|street|country)\b"
+
+
+def locus(filler: Column, in_gazetteer: Column) -> Column:
+    """STR-29: is it a time? else a place? else a topic."""
+    low = F.lower(filler)
+    return F.when(low.rlike(TIME_PATTERN), "locus_time").when(F.coalesce(in_gazetteer, F.lit(False)) | low.rlike(PLACE_PATTERN), "locus_space").otherwise("locus_topic")
+
+
+def question_key(q: Column) -> Column:
+    """STR-31: lower case, stripped, without question marks at the end."""
+    return F.regexp_replace(key(q), r"\?+$", "")
+
+
+# The quantity words of a type.
+QUANTITIES = {"universal": ["all", "every", "each"], "existential": ["some"], "negative": ["no", "none"], "proportional": ["most", "many", "few"]}
+NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+
+
+def quantity(phrase: Column) -> Column:
+    """PIP-29: ``quantity, quantity_type, polarity`` of a phrase by its first word; nulls and positive if it has none."""
+    first = F.split(key(phrase), r"\s+")[0]
+    number = F.when(first.rlike(r"^\d+$"), first).otherwise(F.nullif(F.array_position(F.array(*map(F.lit, NUMBERS)), first).cast("string"), F.lit("0")))
+    kind, value = F.when(number.isNotNull(), "exact"), number
+    for name, words in QUANTITIES.items():
+        hit = first.isin(words)
+        kind, value = F.when(hit, name).otherwise(kind), F.when(hit, "ZERO" if name == "negative" else F.upper(first)).otherwise(value)
+    negative = F.coalesce(first.isin(QUANTITIES["negative"]), F.lit(False))
+    return F.struct(value.alias("quantity"), kind.alias("quantity_type"), F.when(negative, "negative").otherwise("positive").alias("polarity"))
+
+
+def polarity(sentence: Column) -> Column:
+    """PIP-29: what a negation covers: a cause (``not because``), the event, or nothing."""
+    low = F.lower(sentence)
+    return F.when(low.rlike(r"\bnot because\b"), "cause").when(low.rlike(r"\b(not|never)\b|n't\b"), "event").otherwise("none")
+
+
+# Verb forms that speak for a tense, aspect and mood, first match decides.
+LAKARAS = [(r"\bwould have\b", "lṛṅ"), (r"\b(should|might|may|could|would)\b", "liṅ"), (r"\b(will|shall)\b", "lṛṭ"), (r"\b(has|have) \w+(ed|en)\b", "liṭ"), (r"\b(was|were) \w+ing\b", "laṅ"), (r"\b\w+ed\b", "luṅ")]
+
+
+def lakara(sentence: Column) -> Column:
+    """PIP-37: tense-aspect-mood tag; a bare verb with an exclamation mark is an imperative, else the present."""
+    low, out = F.lower(sentence), F.when(strip(sentence).rlike(r"^\p{L}+!$"), "loṭ").otherwise("laṭ")
+    for pattern, tag in reversed(LAKARAS):
+        out = F.when(low.rlike(pattern), tag).otherwise(out)
+    return out
+
+
+def compound(name: Column) -> Column:
+    """PIP-37: head and modifiers of a compound name (``blue-eyed man``) and its kind: possessive, coordinative or
+    determinative; null kind for a single word."""
+    words = F.split(key(name), r"\s+")
+    kind = F.when(F.lower(name).rlike(r"\w-\w+ed\b"), "possessive").when(F.lower(name).rlike(r"\w (and|&) \w"), "coordinative").when(F.size(words) > 1, "determinative")
+    return F.struct(F.element_at(words, -1).alias("head"), F.slice(words, F.lit(1), F.size(words) - 1).alias("modifiers"), kind.alias("kind"))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """FN-05."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
@@ -185,6 +244,12 @@ def fidelity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, norm(x), norm(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def normalised_verb(surface: Column, proposed: Column, known: Column) -> Column:
+    """STR-32: the proposed root if the lexicon knows it, else the surface verb with a flag."""
+    fine = F.coalesce(known, F.lit(False))
+    return F.struct(F.when(fine, proposed).otherwise(surface).alias("root"), (~fine).alias("normalisation_failed"))
+
+
 def safe_chunks(limit: int = 1500):
     """STR-09: parts of at most ``limit`` characters, cut at the last blank line, else line end, sentence end, or hard."""
 

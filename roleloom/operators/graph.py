@@ -56,8 +56,8 @@ def equivalence(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         done = new.where("new <> label").isEmpty()
         labels = new.select("node", F.col("new").alias("label"))
         if done:
-            break
-    return labels.select("node", F.col("label").alias("canonical"))
+            return labels.select("node", F.col("label").alias("canonical"))
+    raise RuntimeError(f"identity classes did not settle in {max_rounds} rounds")
 
 
 def cycle_nodes(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -68,9 +68,9 @@ def cycle_nodes(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         left = stored(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         m = left.count()
         if m in (0, n):
-            break
+            return left.select(F.col("src").alias("node")).distinct()
         n = m
-    return left.select(F.col("src").alias("node")).distinct()
+    raise RuntimeError(f"a chain is longer than {max_rounds} rounds of peeling")
 
 
 def provenance(derives: DataFrame, target: DataFrame, max_depth: int = 20) -> DataFrame:
@@ -91,5 +91,5 @@ def upper_bounds(before: DataFrame, times: DataFrame, max_rounds: int = 50) -> D
         done = nxt.where("not (new <=> bound)").isEmpty()
         cur = nxt.select("event", F.col("new").alias("bound"), "is_derived")
         if done:
-            break
-    return cur
+            return cur
+    raise RuntimeError(f"time bounds did not settle in {max_rounds} rounds")

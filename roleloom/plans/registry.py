@@ -876,3 +876,6 @@ def _(s, d):
 @q("stm03_frame_counts", "select event_type kriya, count(*) n from events group by 1")
 def _(s, d):
     return streams.run_once(streams.frame_counts(streams.stream_table(s, d, "events").select(F.col("event_type").alias("kriya"))), "stm03", "complete")
+
+
+from . import extended  # noqa: E402,F401  registers the rest with q

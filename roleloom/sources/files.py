@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 
+# Fixed value: what marks a prompt that is kept elsewhere.
+PLACEHOLDER = "LOAD_FROM_PROMPTS_JSON"
 LINK = "struct<cause_frame:string,effect_frame:string,type:string,negated:boolean>"
 FRAME = (
     "doc_id string, frame_id string, sentence_id int, sentence_text string, kriya string, kriya_surface string, karta string, karma string, karana string, "
@@ -61,3 +63,30 @@ def report(rows: DataFrame) -> DataFrame:
     """SRC-14: a markdown line for each row; pipes are escaped, line ends made spaces."""
     cells = [F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\|"), r"[\r\n]+", " ") for c in rows.columns]
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def byte_range(raw: Column, start: Column, stop: Column) -> Column:
+    """SRC-09: the text of bytes ``start`` to ``stop`` (exclusive) of a UTF-8 text; characters cut at either end go
+    (as do replacement characters there)."""
+    part = F.substring(F.encode(raw, "UTF-8"), (start + 1).cast("int"), (stop - start).cast("int"))
+    return F.regexp_replace(F.make_valid_utf8(part.cast("string")), "^\ufffd+|\ufffd+$", "")
+
+
+def write_log(stats: DataFrame, log: DataFrame, path: str) -> None:
+    """SRC-12: statistics and log as JSON lines in two folders."""
+    stats.write.mode("overwrite").json(f"{path}/stats")
+    log.write.mode("overwrite").json(f"{path}/log")
+
+
+def read_prompts(path: str) -> dict[str, str]:
+    """SRC-08: prompts of a small ``name: |`` file; placeholder values are dropped."""
+    found, name = {}, None
+    with open(path, encoding="utf-8") as f:
+        for line in f.read().splitlines():
+            head, sep, value = line.partition(":")
+            if sep and head and not line[0].isspace() and not line.startswith("#"):
+                name = head.strip()
+                found[name] = "" if value.strip() in ("|", ">", "|-", ">-") else value.strip().strip("\"'")
+            elif name is not None and (line.startswith(" ") or not line):
+                found[name] += ("\n" if found[name] else "") + line.strip()
+    return {k: v.strip() for k, v in found.items() if v.strip() != PLACEHOLDER}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions import text
 
@@ -43,3 +45,40 @@ def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def upserted(changes: DataFrame) -> DataFrame:
+    """STM-04: the newest version of each frame of ``changes(frame_id, version, kriya)``; late older versions change
+    nothing.  State holds one version a frame."""
+
+    def step(key, batches, state: GroupState):
+        best = state.get if state.exists else None
+        before = best
+        for b in batches:
+            for version, kriya in b[["version", "kriya"]].itertuples(index=False):
+                if best is None or version > best[0]:
+                    best = (int(version), kriya)
+        if best is not None and best != before:
+            state.update(best)
+            yield pd.DataFrame({"frame_id": [key[0]], "version": [best[0]], "kriya": [best[1]]})
+
+    schema = "frame_id string, version bigint, kriya string"
+    return changes.groupBy("frame_id").applyInPandasWithState(step, schema, "version bigint, kriya string", "update", "NoTimeout")
+
+
+def completed_documents(chunks: DataFrame) -> DataFrame:
+    """STM-04: documents of ``chunks(doc_id, chunk, n_chunks)`` all of whose chunks have arrived, each reported once;
+    a chunk that arrives twice counts once."""
+
+    def step(key, batches, state: GroupState):
+        seen, total, told = state.get if state.exists else ([], 0, False)
+        seen = set(seen)
+        for b in batches:
+            seen.update(int(c) for c in b["chunk"])
+            total = max(total, int(b["n_chunks"].max()))
+        done = len(seen) >= total
+        state.update((sorted(seen), total, told or done))
+        if done and not told:
+            yield pd.DataFrame({"doc_id": [key[0]], "n": [len(seen)]})
+
+    return chunks.groupBy("doc_id").applyInPandasWithState(step, "doc_id bigint, n bigint", "seen array<bigint>, total bigint, told boolean", "update", "NoTimeout")
