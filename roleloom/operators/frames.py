@@ -102,3 +102,22 @@ def select_candidate(candidates: DataFrame, keys: list[str]) -> DataFrame:
     mean = F.when(F.size(ok) > 0, F.aggregate(ok, F.lit(0.0), lambda s, x: s + x) / F.size(ok)).otherwise(F.lit(1.0))
     scored = candidates.withColumn("score", mean)
     return top_per(scored, keys, [F.col("score").desc(), F.col("pos")]).drop("rank")
+
+
+def upserted(frames: DataFrame, new: DataFrame) -> DataFrame:
+    """PIP-01: frames with the new ones added or put in place of those with their id; indexes are views of this table,
+    so none can be stale.  ``new`` holds each id once."""
+    return frames.join(new.select("frame_id"), "frame_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def cleared(frames: DataFrame) -> DataFrame:
+    """PIP-02: the empty table of the same columns."""
+    return frames.limit(0)
+
+
+def answer_rows(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """PIP-13: ``question_id, status, n`` of ``questions(question_id, problem)`` with ``found(question_id)`` frames: ERROR
+    if the question has a problem, GROUNDED if frames were found, else NO_MATCH."""
+    n = found.groupBy("question_id").agg(F.count("*").alias("n"))
+    status = F.when(F.col("problem").isNotNull(), "ERROR").when(F.col("n") > 0, "GROUNDED").otherwise("NO_MATCH")
+    return questions.join(n, "question_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).select("question_id", status.alias("status"), "n")

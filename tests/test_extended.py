@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roleloom.functions import align, responses, text
-from roleloom.operators import belief, entities, extract, oplog, postpass, quality
+from roleloom.operators import belief, entities, extract, frames, oplog, postpass, quality
 from roleloom.plans import engine
 from roleloom.sources import files
 from roleloom.streaming import frames as streams
@@ -183,3 +183,12 @@ def test_completed_documents(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = streams.run_once(streams.completed_documents(stream), "done", "update").collect()
     assert sorted((r.doc_id, r.n) for r in got) == [(1, 2), (2, 1)]
+
+
+def test_store_and_answers(spark):
+    old, new = spark.createDataFrame([("a", 1), ("b", 2)], "frame_id string, v int"), spark.createDataFrame([("b", 3), ("c", 4)], "frame_id string, v int")
+    assert sorted((r.frame_id, r.v) for r in frames.upserted(old, new).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    assert frames.cleared(old).count() == 0
+    asked = spark.createDataFrame([(1, None), (2, None), (3, "bad")], "question_id int, problem string")
+    got = frames.answer_rows(asked, spark.createDataFrame([(1,), (1,)], "question_id int")).collect()
+    assert {(r.question_id, r.status, r.n) for r in got} == {(1, "GROUNDED", 2), (2, "NO_MATCH", 0), (3, "ERROR", 0)}
