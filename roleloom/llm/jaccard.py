@@ -128,8 +128,8 @@ def parity_bitmap(u: np.ndarray) -> np.ndarray:
     while size < len(u):
         size *= 2
     n = np.bincount((u & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    # bit class c is in word c % (size / 64): halves folded by xor are the bitmap of half the size
-    return (n.reshape(64, -1).astype(np.uint64) << np.arange(64, dtype=np.uint64)[:, None]).sum(0, dtype=np.uint64)
+    # class c is bit c % 64 of word c // 64: halves folded by xor are the bitmap of half the size
+    return (n.reshape(-1, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
 def _sets(batches, k: int):
@@ -215,11 +215,12 @@ def _scan_prefixes(k: int, t: Fraction, counts):
     return run
 
 
-def _bitmaps_differ():
-    """Bits in which ``ba`` and ``bb`` differ; the longer is folded to the shorter's size."""
+def _bitmaps_differ(t: Fraction):
+    """Bits in which ``ba`` and ``bb`` differ; the longer is folded to the shorter's size (of sets whose sizes have a ratio of t or more)."""
     fold = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
     a, b = F.col("ba"), F.col("bb")
-    a, b = F.when(F.size("ba") > F.size("bb"), fold(a)).otherwise(a), F.when(F.size("bb") > F.size("ba"), fold(b)).otherwise(b)
+    for _ in range((-(-t.denominator // t.numerator) - 1).bit_length()):
+        a, b = F.when(F.size(a) > F.size("bb"), fold(a)).otherwise(a), F.when(F.size(b) > F.size("ba"), fold(b)).otherwise(b)
     return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
 
 
@@ -235,7 +236,7 @@ class _Verifier:
         a = self.maps.select(F.col("id").alias("src"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
         b = self.maps.select(F.col("id").alias("dst"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
         sized = F.least("na", "nb") * F.lit(den) >= F.greatest("na", "nb") * F.lit(num)
-        maybe = pairs.join(a, "src").join(b, "dst").where(sized).where(_bitmaps_differ() * F.lit(den + num) <= (F.col("na") + F.col("nb")) * F.lit(den - num))
+        maybe = pairs.join(a, "src").join(b, "dst").where(sized).where(_bitmaps_differ(self.t) * F.lit(den + num) <= (F.col("na") + F.col("nb")) * F.lit(den - num))
         maybe = materialize(maybe.select("src", "dst").distinct(), "maybe")
         ids = materialize(maybe.select(F.col("src").alias("id")).union(maybe.select("dst")).distinct(), "ids")
         sets = map_arrow(keep_ids(self.base, ids, "id", ids.count()), _scan_sets(self.k), "id bigint, elements array<bigint>")

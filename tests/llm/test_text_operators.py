@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roleloom.llm import fingerprints as fp
-from roleloom.llm.jaccard import Bands, jaccard_components, max_difference
+from roleloom.llm.jaccard import Bands, jaccard_components, max_difference, parity_bitmap
 from roleloom.llm.langid import Model, identify_languages
 from roleloom.llm.pieces import MODEL, decode_documents, encode_documents
 from roleloom.llm.sharding import assign_shards, jump_hash
@@ -265,6 +265,33 @@ def test_jaccard(spark, docs, empty, k, t):
         assert jaccard_components(empty, k, t).count() == 0
 
 
+def test_bitmaps_fold_to_half_the_size():
+    rng = np.random.default_rng(3)
+    for n in (65, 129, 257, 513):
+        u = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        long = parity_bitmap(u)
+        want = np.zeros(len(long) * 32, int)  # parities of half as many classes
+        np.add.at(want, (u % np.uint64(len(want))).astype(int), 1)
+        half = long[: len(long) // 2] ^ long[len(long) // 2 :]
+        assert [int(x >> np.uint64(j)) & 1 for x in half for j in range(64)] == list(want % 2)
+
+
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(1, 3)])
+def test_jaccard_around_powers_of_two(spark, t):
+    rng = random.Random(7)
+    rows = []
+    for low, high in ((60, 70), (120, 135), (250, 262)):
+        for n in range(low, high):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n + 2)]
+            rows += [words, words + [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 4))]]
+            if t < Fraction(1, 2):
+                rows.append(words[: n // 2])
+    texts = {i: " ".join(w) for i, w in enumerate(rows)}
+    data = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(data, 3, t).collect()}
+    assert got == components(texts, 3, t)
+
+
 def test_jaccard_on_documents(spark):
     data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(data, 3, Fraction(9, 10)).collect()}
