@@ -12,8 +12,8 @@ that window wherever the window occurs.
 Each window of WINDOW words is represented by the least-named of its symbols;
 consecutive windows with the same symbol form a segment.  Symbols that occur in
 one document only are done; segments equal throughout are settled at once;
-where segments differ, their windows are compared one by one, one segment of
-each content.
+where segments differ, their windows are compared one by one, for each content
+all segments of its least document.
 """
 
 from __future__ import annotations
@@ -183,14 +183,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     by_symbol = segs.groupBy("x").agg(F.min("doc_id").alias("x0"), F.max("doc_id").alias("x1")).where("x0 < x1")
     # the joined tables are written first: a join of stored tables can be split at a hot key
     live = materialize(segs.join(materialize(by_symbol.select("x"), "symbols"), "x"), "live")
-    contents = live.groupBy("x", "k").agg(F.min(F.struct("doc_id", "row", "p", "n")).alias("s"))
-    contents = materialize(contents, "contents")
-    whole = (
-        live.join(contents.select("x", "k", F.col("s.doc_id").alias("least")), ["x", "k"]).where("doc_id > least").select("doc_id", "row", "p", "n")
-    )
-    # symbols with several contents: one segment of each is compared window by window
+    contents = materialize(live.groupBy("x", "k").agg(F.min("doc_id").alias("least")), "contents")
+    judged = materialize(live.join(contents, ["x", "k"]).select("x", "doc_id", "row", "p", "n", "least"), "judged")
+    whole = judged.where("doc_id > least").select("doc_id", "row", "p", "n")
+    # symbols with several contents: all segments of each content's least document are compared window by window
     several = contents.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
-    firsts = contents.join(materialize(several, "several"), "x").select("s.*")
+    firsts = judged.where("doc_id = least").join(materialize(several, "several"), "x")
     asked = materialize(firsts.groupBy("doc_id", "row").agg(F.collect_set(_packed()).alias("ranges")), "asked")
     texts = base.join(asked.select("row", "ranges"), "row").select("doc_id", "row", "text", "ranges")
     windows = materialize(map_arrow(texts, _window_rows, "w bigint, doc_id bigint, row bigint, p int"), "windows")

@@ -219,6 +219,28 @@ def test_substrings(spark, docs, empty):
     assert removed_repeats(empty).count() == 0
 
 
+def test_substrings_of_doubled_blocks(spark):
+    # the second copy of L P R, in the same text or in another row of its id, holds P as well as the first
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 200, 10):
+        p = some(rng.randint(50, 80))
+        block = some(30) + p + some(30)
+        rows += [(i + 3, some(40) + p + some(40)), (i + 5, block + some(20) + block), (i + 7, some(5) + block), (i + 7, block + some(5))]
+    data = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string").repartition(3)
+    windows = lambda w: [tuple(w[j : j + WINDOW]) for j in range(len(w) - WINDOW + 1)]
+    first = {}
+    for d, w in sorted(rows):
+        for x in windows(w):
+            first.setdefault(x, d)
+    want = []
+    for d, w in rows:
+        gone = {j + k for j, x in enumerate(windows(w)) if first[x] < d for k in range(WINDOW)}
+        want.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    assert sorted(map(tuple, removed_repeats(data).collect())) == sorted(want)
+
+
 def test_texts_without_repeats(docs):
     want = removed(texts_of(docs))
     out = without_repeats(docs)
