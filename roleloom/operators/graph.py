@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -60,11 +61,11 @@ def equivalence(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"identity classes did not settle in {max_rounds} rounds")
 
 
-def cycle_nodes(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def cycle_nodes(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """PIP-21/VAL-12: nodes that peeling sources and sinks leaves: those on cycles or between them."""
     left = stored(edges.select("src", "dst").distinct())
     n = left.count()
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         left = stored(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         m = left.count()
         if m in (0, n):

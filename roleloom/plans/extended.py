@@ -452,9 +452,8 @@ def _(s, d):
 
 @q("val12_causal_paradox", f"with {CA}, x as (select src, dst from ca where substr(src, 2)::bigint % 50 = 0) select src node from x union select dst from x")
 def _(s, d):
-    e = views.event_frames(s, d)
-    some = views.adjacent(e).where("cast(substr(src, 2) as bigint) % 50 = 0")  # each cause doubles as its own effect
-    return graph.cycle_nodes(some.union(some.select("dst", "src")))
+    links = views.adjacent(views.event_frames(s, d))  # each cause doubles as its own effect
+    return graph.cycle_nodes(links.union(links.select("dst", "src")))
 
 
 @q("val14_illegal_retractions", "select event_id id, case when event_id % 3 = 1 then 'EVENT' else 'TEMPORAL' end kind from events where event_type = 'error' and event_id % 3 <> 0")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from roleloom.functions import text
 from roleloom.operators import belief, frames, graph, quality
 from roleloom.plans import registry
-from roleloom.sources import files
+from roleloom.sources import files, views
 
 
 def one(spark, value, fn):
@@ -121,3 +121,16 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_cycles_of_all_edges(spark, sf_dir, tmp_path):
+    rows = [(1, 1, 1), (2, 2, 0), (3, 3, 3), (4, 41, 4)]  # 1 -> 2 -> 1 in orders that are no multiples of 50
+    spark.createDataFrame(rows, "l_orderkey bigint, l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(r.node for r in registry.QUERIES["pip21_cycles"](spark, str(tmp_path)).collect()) == [1, 2]
+    links = views.adjacent(views.event_frames(spark, sf_dir)).select("src", "dst").collect()
+    assert sorted(r.node for r in registry.QUERIES["val12_causal_paradox"](spark, sf_dir).collect()) == sorted({x for r in links for x in r})
+
+
+def test_cycles_behind_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(205)] + [(1000, 1001), (1001, 1000)], "src bigint, dst bigint").coalesce(1)
+    assert {r.node for r in graph.cycle_nodes(edges).collect()} == {1000, 1001}
