@@ -27,15 +27,15 @@ def neighbours(edges: DataFrame, node: Column, direction: str = "both") -> DataF
     return out if direction == "out" else into if direction == "in" else out.union(into)
 
 
-def traverse(edges: DataFrame, start: DataFrame, max_hops: int, direction: str = "out") -> DataFrame:
-    """JN-11: nodes at distance up to ``max_hops - 1`` of ``start(node)``, the start included, with their distance."""
+def traverse(edges: DataFrame, start: DataFrame, max_hops: int | None, direction: str = "out") -> DataFrame:
+    """JN-11: nodes at distance up to ``max_hops - 1`` (None: any) of ``start(node)``, the start included, with their distance."""
     step = edges.select("src", "dst")
     if direction != "out":
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         step = back if direction == "in" else step.union(back)
     seen = stored(start.select("node", F.lit(0).alias("hops")).distinct())
     front = seen
-    for h in range(1, max_hops):
+    for h in itertools.count(1) if max_hops is None else range(1, max_hops):
         new = front.join(step, front.node == step.src).select(F.col("dst").alias("node")).distinct()
         front = stored(new.join(seen, "node", "left_anti").select("node", F.lit(h).alias("hops")))
         if front.isEmpty():
@@ -74,10 +74,10 @@ def cycle_nodes(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     raise RuntimeError(f"a chain is longer than {max_rounds} rounds of peeling")
 
 
-def provenance(derives: DataFrame, target: DataFrame, max_depth: int = 20) -> DataFrame:
-    """JN-18: ``node, depth`` under ``target(node)`` along ``derives(conclusion, evidence)``."""
+def provenance(derives: DataFrame, target: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """JN-18: ``node, depth`` under ``target(node)`` along ``derives(conclusion, evidence)``, down to ``max_depth`` (None: all)."""
     tree = derives.select(F.col("conclusion").alias("src"), F.col("evidence").alias("dst"))
-    return traverse(tree, target, max_depth + 1).withColumnRenamed("hops", "depth")
+    return traverse(tree, target, None if max_depth is None else max_depth + 1).withColumnRenamed("hops", "depth")
 
 
 def upper_bounds(before: DataFrame, times: DataFrame, max_rounds: int = 50) -> DataFrame:

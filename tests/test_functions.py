@@ -134,3 +134,10 @@ def test_cycles_of_all_edges(spark, sf_dir, tmp_path):
 def test_cycles_behind_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(205)] + [(1000, 1001), (1001, 1000)], "src bigint, dst bigint").coalesce(1)
     assert {r.node for r in graph.cycle_nodes(edges).collect()} == {1000, 1001}
+
+
+def test_provenance_of_a_long_chain(spark):
+    derives = spark.createDataFrame([(i, i + 1) for i in range(25)] + [(25, 20)], "conclusion bigint, evidence bigint").coalesce(1)
+    start = spark.createDataFrame([(0,)], "node bigint")
+    assert sorted(map(tuple, graph.provenance(derives, start).collect())) == [(i, i) for i in range(26)]
+    assert graph.provenance(derives, start, 3).count() == 4
