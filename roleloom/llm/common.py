@@ -8,10 +8,10 @@ costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +21,19 @@ from .textscan import tidied
 BROADCAST_ROWS = 1_000_000
 
 
-#: Rows of an Arrow batch, where the session has Spark's default: whole texts may be long.
-BATCH_ROWS = "1000"
+#: Bytes of an Arrow batch, where the session has Spark's default: several copies of a batch are in a worker's memory.
+BATCH_BYTES, DEFAULT_BYTES = "4m", ("64m", "67108864b", "67108864")
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow in batches of bounded rows that leaves no unused memory in the workers."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, BATCH_ROWS)
+    """mapInArrow in batches of bounded bytes that leaves no unused memory in the workers.
+
+    Spark reads the bound when the plan runs, which may be after this returns,
+    so it is set for the session; one that the user has set stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name).lower() in DEFAULT_BYTES:
+        conf.set(name, BATCH_BYTES)
     return df.mapInArrow(tidied(run), schema)
 
 
@@ -38,18 +42,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.
-
-    Where it is unset: a temporary folder in local mode (driver and executors
-    are one process there), else a folder in the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local["):
-            found = f"file://{tempfile.mkdtemp(prefix='roleloom-')}"
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_roleloom"
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which executors share as well."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_roleloom"
     return found.rstrip("/")
 
 
@@ -89,9 +83,26 @@ def release(df: DataFrame | None) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Have Spark's cleaner drop the shuffle files of finished steps: it follows the driver's garbage collection."""
+    """Have Spark's cleaner drop the shuffle files and broadcasts of finished steps (it follows the driver's garbage
+    collection), and the driver hand back what its many short-lived threads have left in the C heap."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    try:
+        _trim_driver(spark)
+    except Py4JError:  # a JVM that does not offer it
+        pass
+
+
+def _trim_driver(spark: SparkSession) -> None:
+    """The JVM's diagnostic command System.trim_native_heap (through reflection: the bean server's own class is not open)."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    call = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    types, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, name in enumerate(call):
+        types[i] = named(name)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    named("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 @contextmanager
@@ -112,15 +123,15 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     return df.join(side, key, "left_semi")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of ``edges(src, dst)`` as ``(node, component)``, component = smallest node.
 
-    Alternating large-star and small-star rounds (logarithmically many in
-    practice), every round written to the shared folder.  Self-loops and nulls
-    are ignored.  Minima are pre-aggregated and joined back, so a hot node is
-    never gathered into one task.
+    Alternating large-star and small-star rounds until nothing changes
+    (logarithmically many in practice), every round written to the shared
+    folder.  Self-loops and nulls are ignored.  Minima are pre-aggregated and
+    joined back: no node's edges are gathered for them, and the joins' hot
+    nodes are split by Spark where its skew handling is on.
     """
-    spark = edges.sparkSession
     cur = materialize(
         edges.where("src is not null and dst is not null and src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
@@ -132,9 +143,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     before = signature(cur)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -154,8 +163,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tops = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
 

@@ -41,6 +41,10 @@ SMALL = 16
 LEADERS = 3
 #: Documents sampled for frequent shingles (those in FREQUENT of them or more; the LISTED most frequent); any list gives right results.
 SAMPLE, FREQUENT, LISTED = 8000, 3, 200_000
+#: Of the index rows one in so many is looked at for hot keys: the HOTTEST that come up SEEN times or more; any list gives right results.
+LOOK, SEEN, HOTTEST = 64, 32, 10_000
+#: Pairs of one leader verified in one task; more are dealt to several.
+TOGETHER = 4096
 #: Counters of shingles (by hash) from which their rarity is read; any counts give right results.
 COUNTERS = 1 << 18
 
@@ -231,12 +235,28 @@ class _Verifier:
         self.base, self.k, self.t = base, k, t
         self.maps = scanned.select("id", "n", "bitmap")
 
+    @staticmethod
+    def _joined(pairs: DataFrame, n_pairs: int, a: DataFrame, b: DataFrame) -> DataFrame:
+        """``pairs(src, dst)`` with the columns of a (by src) and b (by dst).
+
+        Many sets share a leader: the pairs of one dst are dealt to several
+        tasks, and its row of b goes to those that have some.
+        """
+        parts = max(1, -(-n_pairs // TOGETHER))
+        with_a = pairs.join(a, "src")
+        if parts == 1:
+            return with_a.join(b, "dst")
+        part = F.pmod(F.xxhash64("src"), F.lit(parts))
+        spread = pairs.select("dst", part.alias("part")).distinct().join(b, "dst")
+        return with_a.withColumn("part", part).join(spread, ["dst", "part"]).drop("part")
+
     def __call__(self, pairs: DataFrame) -> DataFrame:
         num, den = self.t.numerator, self.t.denominator
+        pairs = materialize(pairs, "pairs")
         a = self.maps.select(F.col("id").alias("src"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
         b = self.maps.select(F.col("id").alias("dst"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
         sized = F.least("na", "nb") * F.lit(den) >= F.greatest("na", "nb") * F.lit(num)
-        maybe = pairs.join(a, "src").join(b, "dst").where(sized).where(_bitmaps_differ(self.t) * F.lit(den + num) <= (F.col("na") + F.col("nb")) * F.lit(den - num))
+        maybe = self._joined(pairs, pairs.count(), a, b).where(sized).where(_bitmaps_differ(self.t) * F.lit(den + num) <= (F.col("na") + F.col("nb")) * F.lit(den - num))
         maybe = materialize(maybe.select("src", "dst").distinct(), "maybe")
         ids = materialize(maybe.select(F.col("src").alias("id")).union(maybe.select("dst")).distinct(), "ids")
         sets = map_arrow(keep_ids(self.base, ids, "id", ids.count()), _scan_sets(self.k), "id bigint, elements array<bigint>")
@@ -244,7 +264,7 @@ class _Verifier:
         ea = sets.select(F.col("id").alias("src"), F.col("elements").alias("ea"))
         eb = sets.select(F.col("id").alias("dst"), F.col("elements").alias("eb"))
         both, total = F.size(F.array_intersect("ea", "eb")), F.size("ea") + F.size("eb")
-        counted = maybe.join(ea, "src").join(eb, "dst").select("src", "dst", both.alias("i"), total.alias("s"))
+        counted = self._joined(maybe, maybe.count(), ea, eb).select("src", "dst", both.alias("i"), total.alias("s"))
         out = materialize(counted.where(F.col("i") * F.lit(den) >= (F.col("s") - F.col("i")) * F.lit(num)).select("src", "dst"), "links")
         release(sets)
         return out
@@ -267,6 +287,22 @@ def _across(rows: DataFrame, extra: list[str], fits) -> DataFrame:
     return joined.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
+def _shared_keys(rows: DataFrame) -> DataFrame:
+    """``key, id, leader, rows`` of the index rows ``(key, id)`` whose key several ids have; leader: the least of them.
+
+    Rows of one key meet in a window, but for the hottest keys: theirs are
+    summed up where they are and get the sums by a broadcast of bounded size.
+    """
+    told = rows.where(F.pmod(F.xxhash64("id", "key"), F.lit(LOOK)) == 0).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    hot = F.broadcast(materialize(told.orderBy(F.desc("n"), "key").limit(HOTTEST).select("key"), "hot"))
+    w = Window.partitionBy("key")
+    cold = rows.join(hot, "key", "left_anti").select("key", "id", F.min("id").over(w).alias("leader"), F.max("id").over(w).alias("last"), F.count("*").over(w).alias("rows"))
+    warm = rows.join(hot, "key", "left_semi")
+    sums = warm.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("rows"))
+    warm = warm.join(F.broadcast(materialize(sums, "sums")), "key").select("key", "id", "leader", "last", "rows")  # at most HOTTEST rows
+    return cold.union(warm).where("leader < last").select("key", "id", "leader", "rows")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of documents.
 
@@ -274,9 +310,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     fewer words the whole sequence; without words (or text) empty and linked
     with nothing.  Documents whose sets have Jaccard similarity ``threshold`` or
     more are linked; component_id is the smallest id reachable.  Repeated
-    rows share their component; rows of one id with different texts are judged
-    row by row; a null id is not linked and has a null component.  An empty
-    table gives no row.
+    rows share their component; rows of one id with different texts each have
+    their n_shingles, but are one node: what any of them links with is in the
+    component of all.  A null id is not linked and has a null component.  An
+    empty table gives no row.  Shingles are 64-bit hashes, in verification too:
+    of n different shingles in two sets about n**2 / 2**65 count as equal.
     """
     with scratch(docs.sparkSession):
         return materialize(_components(docs, k, Fraction(threshold), id_col), "jaccard", outer=True)
@@ -293,9 +331,7 @@ def _components(docs: DataFrame, k: int, t: Fraction, id_col: str) -> DataFrame:
     classes = materialize(real.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("id")).distinct()
     rows = keep_ids(whole.where("n > 0 and id is not null"), reps, "id", classes.count()).select("id", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key")
-    shared = rows.select("key", "id", F.min("id").over(w).alias("leader"), F.max("id").over(w).alias("last"), F.count("*").over(w).alias("rows"))
-    shared = materialize(shared.where("leader < last").select("key", "id", "leader", "rows"), "shared")
+    shared = materialize(_shared_keys(rows), "shared")
     release(whole)
     del rows, whole
     sweep(spark)

@@ -21,36 +21,31 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_arrow, numbered, renamed_back
+from .common import ddl, map_arrow, materialize, numbered, renamed_back, scratch
 from .textscan import text_views
 
 #: Longest context, in bytes.
 ORDER = 3
 #: Labelled texts expected in the training sample of each language (all, if there are fewer).
 SAMPLE = 1500
-#: Contexts kept: the most frequent ones; bounds the model to 256 * CONTEXTS * languages * 4 bytes at most.
+#: Contexts kept: those with the largest share of their language's bytes, in whichever language that is.
 CONTEXTS = 8192
-#: Languages that may be learnt (the most frequent).
-LANGUAGES = 64
+#: Bytes of the model's table (contexts x bytes x languages x 4): with very many languages fewer contexts are kept.
+TABLE_BYTES = 256 << 20
 UNKNOWN = "und"
 
 
 class Model:
     """States, classes of bytes and code lengths; ``cost[state, byte class, language]`` in bits."""
 
-    def __init__(self, langs: list[str], counts: dict[str, dict[bytes, dict[int, int]]], contexts: int = CONTEXTS, order: int = ORDER):
+    def __init__(self, langs: list[str], counts: dict[str, dict[bytes, dict[int, int]]], order: int = ORDER):
+        """counts: of each language, for each context the number of times each byte follows."""
         self.langs, self.order = langs, order
-        total: dict[bytes, int] = defaultdict(int)
-        used = set()
+        keep, used = {b""}, set()
         for trees in counts.values():
             for ctx, nxt in trees.items():
-                total[ctx] += sum(nxt.values())
+                keep.update(ctx[k:] for k in range(len(ctx) + 1))
                 used.update(nxt)
-        keep = {b""}
-        for ctx in sorted((c for c in total if c), key=lambda c: (-total[c], c))[:contexts]:
-            for k in range(len(ctx)):
-                keep.add(ctx[k:])
-            keep.add(ctx)
         # bytes seen in training get classes 1.., others share class 0
         self.byte_class = np.zeros(256, np.int64)
         for i, b in enumerate(sorted(used)):
@@ -135,27 +130,43 @@ def _count(batches):
         )
 
 
+def kept_contexts(languages: int, contexts: int = CONTEXTS) -> int:
+    """How many contexts may be kept so that the table stays within TABLE_BYTES."""
+    return max(1, min(contexts, TABLE_BYTES // (256 * 4 * max(1, languages))))
+
+
 def train(rows: DataFrame, sample: int = SAMPLE, contexts: int = CONTEXTS) -> Model:
     """A model of ``rows(doc_id, text, lang)``; rows without text or lang are not used.
 
-    A bounded sample is learnt from: of each language the rows whose hash lies
-    below ``sample / rows of the language`` (whole texts).  Counts are summed in
-    Spark; what reaches the driver is bounded by the sample, not by the input.
+    A bounded sample is learnt from: of each language the rows whose hash of id
+    and text lies below ``sample / rows of the language`` (whole texts, equal
+    ones once).  Every value of lang is learnt.  Counts are summed and contexts
+    chosen in Spark; what reaches the driver is bounded by the contexts kept.
     """
     rows = rows.where("text is not null and lang is not null").select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = [(r[0], r[1]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return Model([], {})
-    share = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
-    picked = rows.where((F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")])
-    grams = map_arrow(picked.select("lang", "text"), _count, "lang string, ord int, gram bigint, n bigint").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[bytes, dict[int, int]]] = {lang: defaultdict(dict) for lang, _ in sizes}
-    got = grams.toPandas()
-    for lang, order, gram, n in got.itertuples(index=False, name=None):
-        raw = int(gram).to_bytes(4, "big")[3 - order :]
-        counts[lang][raw[:-1]][raw[-1]] = int(n)
-    langs = sorted(lang for lang in counts if counts[lang])
-    return Model(langs, counts, contexts)
+    spark = rows.sparkSession
+    share = spark.createDataFrame([(r[0], min(1.0, sample / r[1])) for r in sizes], "lang string, share double")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("train")), F.lit(1_000_003)) / 1_000_003.0
+    picked = rows.join(F.broadcast(share), "lang").where(drawn < F.col("share")).select("lang", "text").distinct()  # one row for each lang
+    grams = map_arrow(picked, _count, "lang string, ord int, gram bigint, n bigint").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
+    with scratch(spark):
+        grams = materialize(grams.withColumn("ctx", F.expr("gram >> 8")), "grams")
+        # a context's share is no larger than that of its end: what is kept holds the ends of all
+        whole = grams.where("ord = 0").groupBy("lang").agg(F.sum("n").alias("bytes"))
+        part = grams.groupBy("lang", "ord", "ctx").agg(F.sum("n").alias("n")).join(F.broadcast(whole), "lang")
+        best = part.groupBy("ord", "ctx").agg(F.max(F.col("n") / F.col("bytes")).alias("share"))
+        keep = best.where("ord > 0").orderBy(F.desc("share"), "ord", "ctx").limit(kept_contexts(len(sizes), contexts)).select("ord", "ctx")
+        root = spark.createDataFrame([(0, 0)], "ord int, ctx bigint")
+        got = grams.join(materialize(keep.union(root), "contexts"), ["ord", "ctx"]).select("lang", "ord", "gram", "n").toArrow()
+    counts: dict[str, dict[bytes, dict[int, int]]] = {r[0]: defaultdict(dict) for r in sizes}
+    for batch in got.to_batches():
+        for lang, order, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = gram.to_bytes(4, "big")[3 - order :]
+            counts[lang][raw[:-1]][raw[-1]] = n
+    return Model(sorted(lang for lang in counts if counts[lang]), counts)
 
 
 def _letters(texts: pa.Array) -> np.ndarray:
@@ -211,7 +222,9 @@ def held_out(doc_id: Column) -> Column:
 def identify_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits_per_byte``; learns from the rows that are not held out.
 
-    A null doc_id is not held out.  Texts are judged by their bytes only.
+    A null doc_id is not held out.  Texts are judged by their bytes only.  Null
+    or repeated ids do not matter to the training sample, which is drawn by id
+    and text; a text that many rows share is learnt from once a language.
     """
     model = train(docs.where(~held_out(F.col("doc_id"))), sample)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -6,15 +6,16 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing, urlfilter
+from . import chat
 from .chat import conversation_digests
 from .common import read_table
 from .embeddings import embedding_links
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_components
 from .langid import identify_languages
-from .mixing import mix_sources
+from .mixing import mix_sources, mixing_report
 from .pieces import encode_documents
 from .sharding import assign_shards
 from .substrings import removed_repeats
@@ -57,6 +58,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def mixing_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sample of op9_mixing is from its targets."""
+    told = mixing_report(read_table(spark, sf_dir, "documents"))
+    return told.select("dim", "value", "tokens", *(F.round(c, 4).alias(c) for c in ("target", "expected")))
+
+
 def conversations_with_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold control strings."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -73,55 +80,68 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_pieces, op3_urls, op4_languages, op5_embeddings, op6_shards, op7_jaccard, op8_substrings, op9_mixing, op10_chat)
+    for f in (op1_fingerprints, op2_pieces, op3_urls, op4_languages, op5_embeddings, op6_shards, op7_jaccard, op8_substrings, op9_mixing, op10_chat, mixing_residuals)
 }
 
 
 def _urls_sql() -> str:
-    upper, lower = urlfilter._UPPER, urlfilter._LOWER
-    host = lambda u: f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), '{upper}', '{lower}')"
-    path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    """Rules and character references are written out here, apart from the operator's."""
+    host = lambda u: f"translate(regexp_extract({u}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = lambda u: f"regexp_extract({u}, '://[^/?#]*([^?#]*)', 1)"
+    at = lambda h: f"('.' || {h})"  # noqa: E731  a host and its subdomains end with .host
 
     def rules(h: str, p: str, value: str) -> str:
-        order = sorted(urlfilter.RULES, key=lambda r: (-len(r.host) - len(r.path), r.name))
-        return "case " + " ".join(
-            f"when ({h} = '{r.host}' or ends_with({h}, '.{r.host}')) and starts_with({p}, '{r.path}') then '{getattr(r, value)}'" for r in order
-        ) + " end"
-
-    def key(u: str) -> str:
-        rest = f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1), '')"
-        rest = rf"regexp_replace({rest}, '([?&])(utm_[a-z]+|gclid|fbclid)=[^&]*', '\1', 'g')"
-        rest = rf"regexp_replace(regexp_replace(regexp_replace({rest}, '&&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', '', 'g')"
-        return f"case when position('://' in coalesce({u}, '')) > 0 then {host(u)} || case when {rest} = '' then '/' else {rest} end end"
-
-    def plain(k: str) -> str:
-        h = f"regexp_replace(split_part({k}, '/', 1), '^(www|m)\\.', '')"
-        rest = f"regexp_extract({k}, '(?s)^[^/?]*(.*)$', 1)"
-        rest = rf"regexp_replace({rest}, '(/index)?\.html?(\?|$)', '\2', 'g')"
-        return rf"{h} || regexp_replace({rest}, '([^/?])/+(\?|$)', '\1\2', 'g')"
-
-    tag = "regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical[\"'']?[^>]*>', 0)"
-    canonical = f"regexp_extract({tag}, '(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)"
-    refresh = "regexp_extract(html, '(?is)<meta\\b[^>]*http-equiv\\s*=\\s*[\"'']?refresh[\"'']?[^>]*?url\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)"
-    return f"""
-with recursive links as (
-  select {key("url")} src, {key("target")} dst
-  from (select url, unnest([{canonical}, {refresh}]) target from pages where url is not null) where position('://' in target) > 0
-), named as (
-  select src, dst from links
-  union select src, {plain("src")} from (select {key("url")} src from pages union select src from links union select dst from links) where src is not null
+        fits = [("example.com", "/en/7", "allow"), ("example.net", "/de/8", "allow"), ("com", "/en/", "block"), ("net", "/de/", "block"), ("org", "/es/", "block")]
+        return "case " + " ".join(f"when {at(h)} like '%.{x}' and {p} like '{y}%' then '{v if value == 'verdict' else x + y}'" for x, y, v in fits) + " end"
+
+    def attribute(tag: str, name: str) -> str:
+        pattern = f"(?is)[\\s\"''/]{name}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))"
+        out = " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3))
+        for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0*47;|&#x0*2f;|&sol;", "/"), ("&#0*58;|&#x0*3a;|&colon;", ":"), ("&#0*38;|&#x0*26;|&amp;", "&")):
+            out = f"regexp_replace({out}, '{code}', '{char}', 'gi')"
+        return f"trim({out}, E' \\t\\n\\f\\r')"
+
+    def full(base: str, t: str) -> str:
+        origin, p = f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)", path(base)
+        return (
+            f"case when regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') then {t} when regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') or {t} = '' or {t}[1] = '#' or position('://' in {base}) = 0 then null "
+            f"when {t}[1:2] = '//' then regexp_extract({base}, '(?s)^(.*?:)//', 1) || {t} when {t}[1] = '/' then {origin} || {t} when {t}[1] = '?' then {origin} || {p} || {t} "
+            f"else {origin} || case when {p} = '' then '/' else regexp_extract({p}, '(?s)^(.*/)', 1) end || {t} end"
+        )
+
+    def walked(u: str) -> str:
+        steps = f"string_split({path(u)}[2:], '/')"
+        kept = f"array_to_string(list_reduce({steps}, lambda a, x: case when x = '..' then a[:-2] when x = '.' then a else list_append(a, x) end, []::varchar[]), '/')"
+        clean = f"'/' || {kept} || case when {kept} <> '' and {steps}[-1] in ('.', '..') then '/' else '' end"
+        return (
+            f"case when list_has_any({steps}, ['.', '..']) then regexp_extract({u}, '(?s)^(.*?://[^/?#]*)', 1) || {clean} || regexp_extract({u}, '(?s)://[^/?#]*[^?#]*(.*)$', 1) else {u} end"
+        )
+
+    key = lambda u: f"case when position('://' in {u}) > 0 then {host(u)} || case when {path(u)} = '' then '/' else '' end || regexp_extract({u}, '(?s)://[^/?#]*([^#]*)', 1) end"
+    return rf"""
+with recursive tags as (
+  select url, {attribute("regexp_extract(html, '(?is)<base\\b[^>]*>')", "href")} b, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) tag
+  from pages where regexp_matches(html, '(?i)canonical|http-equiv') and position('://' in url) > 0
+), told as (
+  select url, coalesce({full("url", "b")}, url) base0, tag,
+    case when tag ilike '<link%' and list_contains(string_split_regex(lower({attribute("tag", "rel")}), '\s+'), 'canonical') then {attribute("tag", "href")}
+      when tag ilike '<meta%' and lower({attribute("tag", "http-equiv")}) = 'refresh' then trim(regexp_extract({attribute("tag", "content")}, '(?is)^[0-9.]*\s*[;,]?\s*url\s*=\s*["'']?([^"'']*)', 1)) end target0
+  from tags
+), based as (select url, {walked("base0")} base, target0 from told where target0 is not null
+), aimed as (select url, {full("base", "target0")} target from based
+), links as (select {key("url")} src, {key(walked("target"))} dst from aimed where target is not null
 ), sym as (
-  select src a, dst b from named where src <> dst union select dst, src from named where src <> dst
+  select src a, dst b from links where src <> dst union select dst, src from links where src <> dst
 ), reach as (
   select a node, a other from sym union select r.node, s.b from reach r join sym s on r.other = s.a
 ), comps as (
   select node, min(other) component from reach group by node
 ), judged as (
-  select *, {rules(host("'x://' || node"), path("'x://' || node"), "verdict")} v from comps
+  select *, {rules(host("('x://' || node)"), path("('x://' || node)"), "verdict")} v from comps
 ), classes as (
   select component, coalesce(bool_or(v = 'allow'), false) a, coalesce(bool_or(v = 'block'), false) b from judged group by component
 ), base as (
-  select page_id, {host("url")} host, {path("url")} path, {key("url")} k from pages
+  select page_id, coalesce({host("url")}, '') host, coalesce({path("url")}, '') path, {key("url")} k from pages
 )
 select page_id, host, path, {rules("host", "path", "name")} as rule,
   coalesce({rules("host", "path", "verdict")}, case when a then 'allow' when b then 'block' else 'allow' end) verdict, component alias_of
@@ -130,33 +150,56 @@ from base left join comps on k = node left join classes using (component)
 
 
 def _mixing_sql() -> str:
-    topic = "case when contains(low, 'licen') or contains(low, 'copyright') then 'legal' when contains(low, '@') then 'contact' when contains(low, ' | ') then 'table' else 'prose' end"
-    steps = ["w0 as (select source, lang, topic, tokens, tokens::double w from cells)"]
-    for d in mixing._DIMS:
+    """Targets are filled up in closed form; of _SQL_STEPS times 4 rounds the first after which raking may end counts."""
+    words = {
+        "legal": "license licensed licence copyright rights reserved warranty terms permission", "contact": "@ mail email phone tel call contact address",
+        "table": "| total price qty id name date", "code": "{ } def return function import class var password key token secret",
+    }
+    lists = {name: "[" + ", ".join(f"'{w}'" for w in told.split()) + "]" for name, told in words.items()}
+    n = {name: f"len(list_intersect(found, {told}))" for name, told in lists.items()}
+    most = f"greatest({', '.join(n.values())})"
+    topic = f"case when {most} = 0 then 'prose' " + " ".join(f"when {x} = {most} then '{name}'" for name, x in n.items()) + " end"
+    steps = []
+    for d, power in (("source", 0.7), ("lang", 0.5), ("topic", 1.0)):
         steps.append(
-            f"t_{d} as (select {d}, g / sum(g) over () * (select sum(tokens) from cells) goal from (select {d}, case when sum(tokens) > 0 then pow(sum(tokens)::double, {mixing.TEMPER[d]}) else 0.0 end g from cells group by {d}))"
+            f"""g_{d} as (
+  select *, (select sum(tokens) from cells)::double total from (select {d} v, sum(tokens)::double t, case when sum(tokens) > 0 then pow(sum(tokens)::double, {power}) else 0.0 end g, sum(tokens) / 0.7 most from cells group by {d})
+), s_{d} as (
+  select *, (total - coalesce(sum(most) over (order by most / g, v rows between unbounded preceding and 1 preceding), 0)) / sum(g) over (order by most / g, v rows between current row and unbounded following) scale from g_{d} where g > 0
+), t_{d} as (
+  select v, least(g * coalesce((select min_by(scale, (most / g, v)) from s_{d} where scale <= most / g), 1e300), most) goal from g_{d}
+)"""
         )
-    at = 0
-    for _ in range(mixing.ROUNDS):
-        for d in mixing._DIMS:
-            steps.append(
-                f"w{at + 1} as materialized (select source, lang, topic, tokens, case when h > 0 then w * goal / h else 0.0 end w from (select *, sum(w) over (partition by {d}) h from w{at}) join t_{d} using ({d}))"
-            )
-            at += 1
-    p = f"round(case when c.tokens > 0 then least(1.0, {mixing.KEEP} * w / c.tokens) else 0.0 end, 9)"
-    raw = f"case when c.tokens > 0 then least(1.0, {mixing.KEEP} * w / c.tokens) else 0.0 end"
+    have = lambda d: f"sum(w) over (partition by {d})"
+    miss = lambda d: f"abs({have(d)} - (select goal from t_{d} where v = {d})) / count(*) over (partition by {d})"
+    scaled = lambda d: f"case when {have(d)} > 0 then w * (select goal from t_{d} where v = {d}) / {have(d)} else 0.0 end"
+    steps.append("w0 as (select source, lang, topic, tokens, tokens::double w, 0.0::double m from cells)")
+    for i in range(4 * _SQL_STEPS):
+        steps.append(f"a{i} as materialized (select * replace ({scaled('source')} as w, {miss('source')} as m) from w{i})")
+        steps.append(f"b{i} as materialized (select * replace ({scaled('lang')} as w, m + {miss('lang')} as m) from a{i})")
+        steps.append(f"c{i} as materialized (select * replace ({scaled('topic')} as w, m + {miss('topic')} as m) from b{i})")
+        steps.append(f"w{i + 1} as materialized (select * replace (least(w, tokens / 0.7) as w) from c{i})")
+    ends = " union all ".join(f"select {i} step, sum(m) / (select sum(tokens) from cells) off from w{4 * i}" for i in range(1, _SQL_STEPS + 1))
+    steps.append(f"ends as materialized ({ends})")
+    steps.append("final as (select min(step) step from (select *, lag(off) over (order by step) before from ends) where off <= 0.002 or before - off <= 0.002)")
+    steps.append("w as (" + " union all ".join(f"select source, lang, topic, tokens, w from w{4 * i} where (select step from final) = {i}" for i in range(1, _SQL_STEPS + 1)) + ")")
     return f"""
 with rows_ as (
   select doc_id, coalesce(source, '') source, coalesce(lang, '') lang, {topic} topic, tok tokens
-  from (select *, lower(coalesce(text, '')) low, case when text is null then 0 else greatest(1, strlen(text) // 4) end::bigint tok from documents)
+  from (select *, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([@|{{}}])', ' \\1 ', 'g'), '[^a-z@|{{}}]+') found,
+    case when text is null then 0 else greatest(1, strlen(text) // 4) end::bigint tok from documents)
 ), cells as (select source, lang, topic, sum(tokens)::bigint tokens from rows_ group by all),
-{", ".join(steps)}
-select r.doc_id, source, lang, topic, r.tokens, round({raw} * r.tokens, 6) weight, {p} prob,
-  ('0x' || substr(md5('mix:' || coalesce(r.doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double < {p} kept
-from rows_ r join w{at} c using (source, lang, topic)
+{", ".join(steps)},
+rates as (select source, lang, topic, round(case when tokens > 0 then least(1.0, 0.7 * w / tokens) else 0.0 end, 6) p from w)
+select r.doc_id, source, lang, topic, r.tokens, round(p * r.tokens, 6) weight, p prob,
+  ('0x' || substr(md5('mix:' || coalesce(r.doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double < p kept
+from rows_ r join rates c using (source, lang, topic)
 """
 
 
+_SQL_STEPS = 10
+
+
 def _chat_sql() -> str:
     t = chat.DEFAULT
     groups = len({m[0] for m in t.marks})

@@ -10,10 +10,17 @@ it depends on is kept; a symbol whose extent lies in a window is a symbol of
 that window wherever the window occurs.
 
 Each window of WINDOW words is represented by the least-named of its symbols;
-consecutive windows with the same symbol form a segment.  Symbols that occur in
-one document only are done; segments equal throughout are settled at once;
-where segments differ, their windows are compared one by one, for each content
-all segments of its least document.
+consecutive windows with the same symbol form a segment.  Spark groups the
+segments by symbol: symbols that occur in one document only are done; segments
+equal throughout are settled at once; where segments differ, their windows are
+compared one by one, for each content all segments of its least document.
+
+Naming needs no dictionary and so no round of its own in Spark: a name is a
+hash of what it stands for, the same everywhere.  A false match of names only
+costs a comparison.  What decides are hashes of 64-bit word hashes, no word is
+compared again: contents agree in a symbol's hash and one of their own, windows
+in two hashes of their own (128 bits each; a false match is not expected in
+10**15 windows).
 """
 
 from __future__ import annotations
@@ -81,14 +88,18 @@ def recompress(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS):
     return name, low, high
 
 
-def _spans(h: np.ndarray):
-    """A function from arrays (start, end) to hashes of the words between."""
+def _spans(h: np.ndarray, again: int = 0):
+    """A function from arrays (start, end) to hashes of the words between; with ``again`` other ones."""
     run = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(BASE, len(h)), out=run[1:])
+    np.cumsum((mix(h + np.uint64(again)) if again else h) * powers(BASE, len(h)), out=run[1:])
     inverse = powers(BASE_INV, len(h) + 1)
     return lambda a, b: mix((run[b] - run[a]) * inverse[a] + (b - a).astype(np.uint64))
 
 
+#: Makes the second hash of a word from the first.
+_AGAIN = 0x3C79AC492BA7B653
+
+
 def segments(h: np.ndarray, first: np.ndarray, window: int = WINDOW):
     """Segments of all windows: symbol key, content key, first window, number of windows (word indexes)."""
     name, low, high = recompress(h, first)
@@ -149,7 +160,7 @@ def _window_rows(batches):
         ids, keys, ranges = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
         for f, count, data, offs in text_views(batch.column(2)):
             _, _, h, first = words(data, offs)
-            span = _spans(h)
+            span, span_too = _spans(h), _spans(h, _AGAIN)
             docs, starts = [], []
             for i in range(count):
                 for p, n in _unpacked(ranges[f + i].as_py()):
@@ -158,9 +169,10 @@ def _window_rows(batches):
             if not docs:
                 continue
             d, p = np.concatenate(docs), np.concatenate(starts)
-            w = span(first[d] + p, first[d] + p + WINDOW)
+            a = first[d] + p
+            w, w_too = (f(a, a + WINDOW).view(np.int64) for f in (span, span_too))
             yield pa.RecordBatch.from_pydict(
-                {"w": pa.array(w.view(np.int64)), "doc_id": pa.array(ids[f + d]), "row": pa.array(keys[f + d]), "p": pa.array(p.astype(np.int32))}
+                {"w": pa.array(w), "w_too": pa.array(w_too), "doc_id": pa.array(ids[f + d]), "row": pa.array(keys[f + d]), "p": pa.array(p.astype(np.int32))}
             )
 
 
@@ -190,10 +202,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     several = contents.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
     firsts = judged.where("doc_id = least").join(materialize(several, "several"), "x")
     asked = materialize(firsts.groupBy("doc_id", "row").agg(F.collect_set(_packed()).alias("ranges")), "asked")
-    texts = base.join(asked.select("row", "ranges"), "row").select("doc_id", "row", "text", "ranges")
-    windows = materialize(map_arrow(texts, _window_rows, "w bigint, doc_id bigint, row bigint, p int"), "windows")
-    least = windows.groupBy("w").agg(F.min("doc_id").alias("w0"), F.max("doc_id").alias("w1")).where("w0 < w1").select("w", "w0")
-    single = windows.join(materialize(least, "least"), "w").where("doc_id > w0").select("doc_id", "row", "p", F.lit(1).alias("n"))
+    texts = base.join(asked, ["doc_id", "row"]).select("doc_id", "row", "text", "ranges")
+    windows = materialize(map_arrow(texts, _window_rows, "w bigint, w_too bigint, doc_id bigint, row bigint, p int"), "windows")
+    least = windows.groupBy("w", "w_too").agg(F.min("doc_id").alias("w0"), F.max("doc_id").alias("w1")).where("w0 < w1").select("w", "w_too", "w0")
+    single = windows.join(materialize(least, "least"), ["w", "w_too"]).where("doc_id > w0").select("doc_id", "row", "p", F.lit(1).alias("n"))
     return whole.union(single).groupBy("doc_id", "row").agg(F.collect_set(_packed()).alias("ranges"))
 
 
@@ -255,11 +267,11 @@ def _finish(names: list[str], texts: str = ""):
 def _with_ranges(docs: DataFrame, columns: list) -> DataFrame:
     """``columns`` of every row, its text and the ranges of its repeated windows (null: none)."""
     doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
-    base = docs.select(*columns, text.alias("_text"), F.xxhash64(doc_id, text).alias("row"))
+    base = docs.select(*columns, text.alias("_text"), doc_id.alias("_id"), F.xxhash64(doc_id, text).alias("_row"))
     with scratch(docs.sparkSession):
         found = repeated_ranges(docs.select(doc_id.alias("doc_id"), text.alias("text")))
-        found = materialize(found.select("row", "ranges"), "ranges", outer=True)
-    return base.join(found, "row", "left").withColumnRenamed("ranges", "_ranges").drop("row")
+        found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("ranges").alias("_ranges")), "ranges", outer=True)
+    return base.join(found, ["_id", "_row"], "left").drop("_id", "_row")
 
 
 def removed_repeats(docs: DataFrame) -> DataFrame:

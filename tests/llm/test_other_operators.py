@@ -11,7 +11,7 @@ from roleloom.llm import urlfilter
 from roleloom.llm.chat import DEFAULT, Template, Turn, conversation_digests, format_conversations, read_back
 from roleloom.llm.common import connected_components
 from roleloom.llm.embeddings import embedding_links
-from roleloom.llm.mixing import mix_sources, rake, sample_documents
+from roleloom.llm.mixing import goals_of, mix_sources, mixing_report, rake, sample_documents, topic_of
 
 
 def brute_links(rows, t=0.98):
@@ -120,6 +120,18 @@ PAGES = [
     (13, "http://xcom/en/", ""),
     (14, "http://q.example.net/fr/9?utm_source=f", ""),
     (15, "", ""),
+    (16, "http://r.example.com/fr/1", '<link rel="canonical" href="/en/1">'),
+    (17, "http://r.example.com/fr/x/2", '<p><LINK href=../../en/./2 rel=CANONICAL><link rel=canonical href="/fr/other">'),
+    (18, "http://r.example.com/fr/3", "<meta content=' 3 ; URL=\"//s.example.org/es/1\"' http-equiv='Refresh'>"),
+    (19, "http://r.example.com/fr/4", '<link rel="alternate" href="/en/4"><a rel="canonical" href="/en/4"><link data-rel="canonical" href="/en/4">'),
+    (20, "http://r.example.com/fr/5", '<base href="/en/deep/"><link rel="x canonical" href=" t?a=1&amp;b=&quot;2 ">'),
+    (21, "http://r.example.com/fr/6", '<link rel=canonical href="#top"><link rel=canonical href="mailto:a@b"><link rel=canonical href=""><link rel=canonical>'),
+    (22, "http://r.example.com", '<link rel=canonical href="en&#47;9">'),
+    (23, "http://r.example.com/fr/7?q=1", '<link rel=canonical href="?q=2">'),
+    (24, "http://r.example.com/fr/7?q=2", '<link rel=canonical href="http://R.example.com/en/8#x">'),
+    (25, "http://r.example.com/fr/8", '<link rel=canonical href="HTTP://w.example.com/en/8">'),
+    (26, "no-scheme", '<link rel=canonical href="/en/1">'),
+    (None, "http://r.example.com/fr/8", '<link rel=canonical href="http://w.example.com/en/75">'),
 ]
 
 
@@ -134,24 +146,92 @@ def test_urls(spark):
     assert got[6].verdict == got[7].verdict == got[8].verdict == "allow"
     assert [got[i].host for i in (9, 10, 15)] == [""] * 3 and all(got[i].verdict == "allow" and got[i].rule is None for i in (9, 10, 15))
     assert got[11].rule == "org/es/" and got[12].rule == "com/en/" and got[13].rule is None
-    more = spark.createDataFrame([("http://q.example.net/fr/9", "http://q.example.net/de/1")], "url string, target string")
+    assert all(got[i].rule is None and got[i].verdict == "block" for i in (16, 17, 18, 20, 22, 23, 24))
+    assert all(got[i].verdict == "allow" and got[i].alias_of is None for i in (19, 21, 26))
+    assert got[25].verdict == got[None].verdict == "allow" and got[25].alias_of  # an explicitly allowed alias goes before a blocked one
+    assert got[20].alias_of == 'r.example.com/en/deep/t?a=1&b="2'
+    more = spark.createDataFrame([("http://q.example.net/fr/9?utm_source=f", "http://q.example.net/de/1")], "url string, target string")
     assert {r.page_id: r.verdict for r in urlfilter.judge_urls(df, redirects=more).collect()}[14] == "block"
+    # spellings of an address are aliases only on request
+    spelled = spark.createDataFrame([(1, "http://q.example.net/de/1/"), (2, "http://m.q.example.net/de/1.html"), (3, "http://www.x.example.net/de"), (4, "http://x.example.net/de/")], "page_id bigint, url string").withColumn("html", F.lit(""))
+    assert {r.page_id: r.verdict for r in urlfilter.judge_urls(spelled).collect()}[3] == "allow"
+    assert {r.page_id: r.verdict for r in urlfilter.judge_urls(spelled, spellings=True).collect()}[3] == "block"
     assert urlfilter.judge_urls(df.limit(0)).count() == 0
+    clash = df.withColumns({c: F.lit("x") for c in ("host", "rule", "key", "src", "alias_of", "target")})
+    assert sorted(urlfilter.judge_urls(clash).collect(), key=str) == sorted(got.values(), key=str)
+
+
+def test_urls_against_the_sql(spark):
+    import duckdb
+
+    from roleloom.llm.queries import ORACLES
+
+    df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toArrow())
+    want = con.sql(f"select page_id, host, path, rule, verdict, alias_of from ({ORACLES['op3_urls']})").fetchall()
+    assert sorted(map(tuple, urlfilter.judge_urls(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_declared_targets():
+    page = """<!-- <link rel=canonical href=/no> --><script>'<link rel=canonical href=/no>'</script><base href="/a/"><base href="/b/">
+      <link title="x > y" rel='CANONICAL nofollow' HREF='c?d=1&amp;e=2'><link rel=canonical href=../f rel=alternate><link title=it's rel=canonical href=/g>
+      <meta http-equiv=refresh content="5"><meta http-equiv=Refresh content="0;URL='h'"><link rel=canonical href="http://[bad/"><link rel=canonical href="tel:1">"""
+    assert urlfilter.targets_of("http://x.y/z/q", page) == ["http://x.y/a/c?d=1&e=2", "http://x.y/f", "http://x.y/g", "http://x.y/a/h"]
+
+
+CELLS = "source string, lang string, topic string, tokens bigint"
 
 
 def test_raking_meets_marginals(spark):
     rng = random.Random(2)
-    cells = [(s, g, t, rng.randint(1, 500)) for s in "abc" for g in "xy" for t in "pqr"]
+    cells = [(s, g, t, rng.randint(300, 500)) for s in "abc" for g in "xy" for t in "pqr"]
+    df = spark.createDataFrame(cells, CELLS)
     total = sum(c[3] for c in cells)
-    out = rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint"), rounds=12).collect()
-    for k, temper in ((0, 0.7), (1, 0.5), (2, 1.0)):
-        have, base = {}, {}
-        for r in out:
-            have[r[k]] = have.get(r[k], 0) + r.weight
-            base[r[k]] = base.get(r[k], 0) + r.tokens
-        norm = sum(v**temper for v in base.values())
-        for key, v in base.items():
-            assert have[key] == pytest.approx(v**temper / norm * total, rel=1e-4)
+    targets = {"lang": {"x": 3.0, "y": 2.0}, "topic": spark.createDataFrame([("p", 0.4), ("q", 0.3), ("r", 0.3), ("none", 9.0)], "value string, share double")}
+    out = rake(df, goals_of(df, targets, {"source": 0.7}, 0.5), 0.5, 1e-9).collect()
+    have = [{}, {}, {}]
+    for r in out:
+        assert 0 <= r.weight <= r.tokens / 0.5
+        for k in range(3):
+            have[k][r[k]] = have[k].get(r[k], 0) + r.weight
+    base = {s: sum(c[3] for c in cells if c[0] == s) ** 0.7 for s in "abc"}
+    want = [{s: v / sum(base.values()) for s, v in base.items()}, {"x": 0.6, "y": 0.4}, {"p": 0.4, "q": 0.3, "r": 0.3}]
+    for k in range(3):
+        assert {v: h / total for v, h in have[k].items()} == pytest.approx(want[k], rel=1e-6)
+
+
+def test_goals_beyond_what_there_is(spark):
+    # y can give 100 / 0.5 tokens of 1000; its share of 0.9 is cut, x and z take the rest in proportion
+    df = spark.createDataFrame([("s", "x", "t", 400), ("s", "y", "t", 100), ("s", "z", "t", 500)], CELLS)
+    goals = {r.value: r.goal for r in goals_of(df, {"lang": {"x": 0.05, "y": 0.9, "z": 0.05}}, keep=0.5)["lang"].collect()}
+    assert goals == pytest.approx({"x": 400, "y": 200, "z": 400})
+    out = {r.lang: r.weight for r in rake(df, goals_of(df, {"lang": {"x": 0.05, "y": 0.9, "z": 0.05}}, keep=0.5), 0.5).collect()}
+    assert out == pytest.approx({"x": 400, "y": 200, "z": 400}, rel=0.01)  # no mass is lost
+    everything = {r.value: r.goal for r in goals_of(df, keep=1.0)["lang"].collect()}
+    assert everything == pytest.approx({"x": 400, "y": 100, "z": 500})
+
+
+def test_topics(spark):
+    rows = ["", None, "plain words", "Copyright, all rights", "mail a@b.c", "a|b", "return x;", "licensed {", "rights @", "copyrighted"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(topic_of(F.col("t"))).collect()]
+    assert got == ["prose", "prose", "prose", "legal", "contact", "table", "code", "legal", "legal", "prose"]
+
+
+def test_mixing_report_and_sql(spark):
+    import duckdb
+
+    from roleloom.llm.queries import ORACLES
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("kind", F.lit("one"))
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(f"select doc_id, source, lang, topic, tokens, weight, prob, kept from ({ORACLES['op9_mixing']})").fetchall()
+    assert sorted(map(tuple, mix_sources(d).collect())) == sorted(want)
+    told = mixing_report(d, targets={"lang": {"en": 0.8, "de": 0.2}}, topic="kind").collect()
+    assert {r.dim for r in told} == {"source", "lang", "topic"} and [r.expected for r in told if r.dim == "topic"] == [pytest.approx(1)]
+    by = {r.value: r for r in told if r.dim == "lang"}
+    assert by["en"].target == pytest.approx(0.8) and by["fr"].target == 0 and by["fr"].expected < 0.01
 
 
 def test_mixing_edge_cases(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roleloom.llm import fingerprints as fp
 from roleloom.llm.jaccard import Bands, jaccard_components, max_difference, parity_bitmap
-from roleloom.llm.langid import Model, identify_languages
+from roleloom.llm.langid import Model, identify_languages, kept_contexts
 from roleloom.llm.pieces import MODEL, decode_documents, encode_documents
 from roleloom.llm.sharding import assign_shards, jump_hash
 from roleloom.llm.substrings import WINDOW, removed_repeats, without_repeats
@@ -150,9 +150,74 @@ def test_languages_edge_cases(spark, docs, empty):
     assert identify_languages(none).first().lang_pred == "und"
 
 
+def code_length(text: bytes, trees: dict, order: int) -> float:
+    """PPM, method C, byte by byte."""
+    bits = 0.0
+    for i, b in enumerate(text):
+        ctx = text[max(0, i - order) : i]
+        while ctx not in trees:
+            ctx = ctx[1:]
+        while True:
+            nxt = trees.get(ctx, {})
+            total, kinds = sum(nxt.values()), len(nxt)
+            if b in nxt:
+                bits -= np.log2(nxt[b] / (total + kinds))
+                break
+            if kinds:
+                bits -= np.log2(kinds / (total + kinds))
+            if not ctx:
+                bits += 8
+                break
+            ctx = ctx[1:]
+    return bits
+
+
+def test_languages_against_brute_force(spark):
+    rng = random.Random(4)
+    letters = {"aa": "abcde é", "bb": "bcdef ß", "cc": "abxyz 日"}
+    rows = [(i, "".join(rng.choice(letters[g]) for _ in range(rng.randint(1, 60))), g) for i, g in enumerate(rng.choices(list(letters), k=240))]
+    rows += [(900 + i, "".join(rng.choice("abcdefxyzq é") for _ in range(20)), None) for i in range(30)] + [rows[3], (None, rows[5][1], "aa"), (950, rows[5][1], rows[5][2])]
+    trees = {g: {b"": {}} for g in letters}
+    for text, lang in {(t, g) for i, t, g in rows if g and (i is None or zlib.crc32(str(i).encode()) % 3 != 1)}:
+        raw = text.encode()
+        for i, b in enumerate(raw):
+            for k in range(min(3, i) + 1):
+                nxt = trees[lang].setdefault(raw[i - k : i], {})
+                nxt[b] = nxt.get(b, 0) + 1
+    known = set().union(*(t.keys() for t in trees.values()))
+    got = identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        cost = {g: code_length(raw, {c: t.get(c, {}) for c in known}, 3) for g, t in trees.items()}
+        least = min(cost.values())
+        if r.lang_pred == "und":
+            assert not re.search(r"[^\W\d_]", texts[r.doc_id])
+            continue
+        assert cost[r.lang_pred] == pytest.approx(least, abs=1e-2) and r.bits_per_byte * len(raw) == pytest.approx(least, abs=1e-2)
+
+
+def test_languages_of_null_and_repeated_ids(spark):
+    words = {"en": "the of and to in is that", "de": "der die und das nicht ist ein", "fr": "le la les et des est une"}
+    rng = random.Random(9)
+    some = lambda g: " ".join(rng.choice(words[g].split()) for _ in range(12))
+    for ids in (lambda i: None, lambda i: 6):  # 6 is not held out
+        rows = [(ids(i), some(g), g) for i in range(3000) for g in words] + [(6, "of the of the", "en")] * 3000
+        got = identify_languages(spark.createDataFrame([*rows, (77, "und das ist nicht die", None)], "doc_id bigint, text string, lang string"), 200)
+        assert got.where("lang_pred = 'und'").count() == 0 and got.where("doc_id = 77").first().lang_pred == "de"
+
+
+def test_many_languages(spark):
+    rows = [(3 * i + k, f"{chr(0x4E00 + i) * 6} {chr(0x4E00 + i) * k}", f"l{i:03}") for i in range(90) for k in range(3)] + [(9999, chr(0x4E00 + 88) * 4, None)]
+    got = identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert [r.lang_pred for r in got if r.doc_id == 9999] == ["l088"] and len({r.lang_pred for r in got}) == 90
+    assert kept_contexts(4) == 8192 and kept_contexts(10_000) * 256 * 4 * 10_000 <= 256 << 20
+
+
 def test_code_lengths_by_hand():
     counts = {"a": {b"": {1: 3, 2: 1}, b"\x01": {1: 2}, b"\x02": {2: 1}}}
-    m = Model(["a"], counts, order=1)
+    m = Model(["a"], counts, 1)
     bits = m.bits(np.array([1, 1, 2, 9], np.uint8), np.array([0, 4]))[0, 0]
     log = np.log2
     first = -log(3 / 6)  # root: 4 bytes of 2 kinds
@@ -219,6 +284,18 @@ def test_substrings(spark, docs, empty):
     assert removed_repeats(empty).count() == 0
 
 
+def test_substrings_around_the_shared_words(spark):
+    # a shared passage between other words of the same least document, in one row and in several
+    rng = random.Random(21)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for case in range(8):
+        w, z, y, v, q = some(60), some(80), some(40), some(40), some(30)
+        rows = {3: y + w + v, 5: z + w + z + q + z + w + z}
+        texts = {d: " ".join(x) for d, x in rows.items()}
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in removed_repeats(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+        assert got == {d: x[:3] for d, x in removed(texts).items()} and got[5][1] == 120, case
+
+
 def test_substrings_of_doubled_blocks(spark):
     # the second copy of L P R, in the same text or in another row of its id, holds P as well as the first
     rng = random.Random(11)
