@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words and patterns whose exact content the results depend on.
-PRONOUNS = ["he", "she", "it", "they", "him", "her", "them", "his", "hers", "its", "their", "theirs", "this", "that", "these", "those", "who", "which"]
-ACTION_WORDS = ["gave", "took", "went", "came", "made", "said", "ate", "built", "sent", "wrote", "ran", "moved", "fought", "killed", "married", "founded", "discovered", "created"]
-STATIVE_PATTERNS = [r"\b(is|are|was|were) (a|an|the)\b", r"\b(is|are|was|were) (known|called|named)\b", r"\b(has|have|had) (a|an|the)\b", r"\bconsists? of\b", r"\bbelongs? to\b", r"\bthere (is|are|was|were)\b"]
-METAPHOR_PATTERNS = [r"\blike an?\b", r"\bas [^\n]{1,40} as\b", r"\bis the (heart|soul|face|voice) of\b", r"\b(lion|tiger|eagle) of\b", r"\bson of\b", r"\blord of\b", r"\bking of\b", r"\bknown as\b"]
+PRONOUNS = ["he", "she", "it", "they", "him", "her", "his", "hers", "its", "their", "theirs", "which", "that", "who", "whom", "this", "these", "those"]
+ACTION_WORDS = ["ate", "ran", "went", "said", "made", "gave", "took", "came", "saw", "got", "put", "found", "told", "asked", "used", "tried", "left", "called"]
+STATIVE_PATTERNS = [r"\bis\s+a\b", r"\bare\s+the\b", r"\bwas\s+a\b", r"\bwere\s+the\b", r"\bis\s+an\b", r"\bhas\s+been\b"]
+METAPHOR_PATTERNS = [r"king of \w+", r"lord of \w+", r"master of \w+", r"father of \w+", r"mother of \w+", r"son of \w+", r"daughter of \w+", r"\w+ the \w+"]
+COMPLETED_WORDS = ["completed", "succeeded", "done", "finished"]
+FAILED_WORDS = ["failed", "error", "stopped"]
+PROCESSING_WORDS = ["processing", "running", "in_progress", "processing_kg", "queued"]
 INTERROGATIVES = [("from where", "apadana"), ("from whom", "apadana"), ("to whom", "sampradana"), ("for whom", "sampradana"), ("with what", "karana"), ("by whom", "karta"), ("about what", "locus_topic"), ("who", "karta"), ("whom", "karma"), ("what", "karma"), ("how", "karana"), ("when", "locus_time"), ("where", "locus_space")]
 
 
@@ -101,15 +104,15 @@ def is_pronoun(text: Column) -> Column:
 
 
 def is_metaphor(text: Column) -> Column:
-    """STR-22."""
-    return F.lower(text).rlike("|".join(METAPHOR_PATTERNS))
+    """STR-22: one of the patterns anywhere in the lower-cased text."""
+    return F.lower(text).rlike("(?U)" + "|".join(METAPHOR_PATTERNS))
 
 
 def eventive(text: Column) -> Column:
     """FLT-08: false for stative sentences without an action word, else unknown (null)."""
     low = F.lower(text)
     acts = F.arrays_overlap(F.split(low, r"\s+"), F.array(*map(F.lit, ACTION_WORDS)))
-    return F.when(low.rlike("|".join(STATIVE_PATTERNS)) & ~acts, F.lit(False))
+    return F.when(low.rlike("(?U)" + "|".join(STATIVE_PATTERNS)) & ~acts, F.lit(False))
 
 
 def reasoning(text: Column) -> Column:
@@ -118,12 +121,14 @@ def reasoning(text: Column) -> Column:
     return strip(both)
 
 
+def _speaks_of(text: Column, words: list[str]) -> Column:
+    return F.lower(text).rlike("|".join(words))
+
+
 def status(raw: Column) -> Column:
-    """STR-24: the first of completed, failed, processing, uploading, pending that the raw status speaks of."""
-    s = F.lower(F.coalesce(raw, F.lit("")))
-    out = F.when(F.contains(s, F.lit("complete")), "completed").when(F.contains(s, F.lit("fail")) | F.contains(s, F.lit("error")), "failed")
-    out = out.when(F.contains(s, F.lit("process")) & ~F.contains(s, F.lit("upload")) | F.contains(s, F.lit("queued")), "processing")
-    return out.when(F.contains(s, F.lit("upload")), "uploading").when(F.contains(s, F.lit("pending")), "pending").otherwise("unknown")
+    """STR-24: the first of completed, failed, processing, uploading, pending that the raw status speaks of, else unknown."""
+    kinds = [("completed", COMPLETED_WORDS), ("failed", FAILED_WORDS), ("processing", PROCESSING_WORDS), ("uploading", ["upload"]), ("pending", ["pending"])]
+    return F.coalesce(*[F.when(_speaks_of(raw, words), kind) for kind, words in kinds], F.lit("unknown"))
 
 
 def question_kind(q: Column) -> Column:
@@ -148,14 +153,21 @@ def keywords(q: Column) -> Column:
     return F.filter(F.split(q, r"\s+"), lambda w: F.length(w) > 3)
 
 
+# Error codes and what their messages hold, first match decides.
+ERROR_CODES = [
+    ("LLM_TIMEOUT", "timeout"),
+    ("LLM_RATE_LIMIT", "rate limit|429"),
+    ("LLM_TOKEN_LIMIT", "(?s)token.*limit|limit.*token"),
+    ("LLM_AUTH_ERROR", "authentication|401"),
+    ("LLM_CONNECTION_ERROR", "connection|network"),
+    ("LLM_RESPONSE_PARSE_ERROR", "json|parse"),
+]
+
+
 def error_code(message: Column) -> Column:
-    """STR-28: seven codes, first match decides."""
-    s = F.lower(message)
-    out = F.lit(None).cast("string")
-    rules = [("timeout", "LLM_TIMEOUT"), ("rate limit|429", "LLM_RATE_LIMIT"), ("token limit", "LLM_TOKEN_LIMIT"), ("401|unauthorized|api key", "LLM_AUTH"), ("network|connection", "LLM_NETWORK"), ("parse|json", "LLM_PARSE")]
-    for pattern, code in reversed(rules):
-        out = F.when(s.rlike(pattern), code).otherwise(out)
-    return F.coalesce(out, F.lit("LLM_UNKNOWN"))
+    """STR-28: the code of the first rule that the message meets, else ``LLM_UNKNOWN_ERROR``."""
+    said = F.lower(message)
+    return F.coalesce(*[F.when(said.rlike(pattern), code) for code, pattern in ERROR_CODES], F.lit("LLM_UNKNOWN_ERROR"))
 
 
 def valid_score(raw: Column) -> Column:

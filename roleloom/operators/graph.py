@@ -44,12 +44,12 @@ def traverse(edges: DataFrame, start: DataFrame, max_hops: int | None, direction
     return seen
 
 
-def equivalence(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def equivalence(edges: DataFrame) -> DataFrame:
     """JN-16: ``node, canonical`` (the least of its class) by min-label propagation with pointer jumping."""
     sym = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     sym = stored(sym)
     labels = stored(sym.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("label")).withColumnRenamed("src", "node"))
-    for _ in range(max_rounds):
+    while True:
         via = sym.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         new = labels.join(via, "node").select("node", F.least("label", "near").alias("new"), "label")
         up = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
@@ -58,7 +58,6 @@ def equivalence(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new.select("node", F.col("new").alias("label"))
         if done:
             return labels.select("node", F.col("label").alias("canonical"))
-    raise RuntimeError(f"identity classes did not settle in {max_rounds} rounds")
 
 
 def cycle_nodes(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -80,12 +79,12 @@ def provenance(derives: DataFrame, target: DataFrame, max_depth: int | None = No
     return traverse(tree, target, None if max_depth is None else max_depth + 1).withColumnRenamed("hops", "depth")
 
 
-def upper_bounds(before: DataFrame, times: DataFrame, max_rounds: int = 50) -> DataFrame:
+def upper_bounds(before: DataFrame, times: DataFrame) -> DataFrame:
     """PIP-22: the latest time of each event from ``before(e1, e2)`` and known ``times(event, at)``; is_derived marks bounds."""
     known = times.select("event", F.col("at").alias("bound"), F.lit(False).alias("is_derived"))
     rest = before.select(F.col("e1").alias("event")).union(before.select("e2")).distinct().join(known, "event", "left_anti")
     cur = stored(known.union(rest.select("event", F.lit(None).cast(times.schema["at"].dataType), F.lit(True))))
-    for _ in range(max_rounds):
+    while True:  # bounds only fall, to one of the known times
         via = before.join(cur.select(F.col("event").alias("e2"), F.col("bound").alias("b2")), "e2").groupBy(F.col("e1").alias("event")).agg(F.min("b2").alias("via"))
         nxt = cur.join(via, "event", "left").select("event", F.when(F.col("is_derived"), F.least("bound", "via")).otherwise(F.col("bound")).alias("new"), "is_derived", "bound")
         nxt = stored(nxt)
@@ -93,4 +92,3 @@ def upper_bounds(before: DataFrame, times: DataFrame, max_rounds: int = 50) -> D
         cur = nxt.select("event", F.col("new").alias("bound"), "is_derived")
         if done:
             return cur
-    raise RuntimeError(f"time bounds did not settle in {max_rounds} rounds")

@@ -11,17 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-# Names that speak of someone by a relation or a quality.
-EPITHETS = [r"(king|lord|master|father|mother|son|daughter) of \w+", r"\w+ the \w+"]
 # What marks the second of two sentences as effect or cause of the first.
 EFFECT_CUES = r"\b(therefore|thus|hence|consequently|as a result|so that)\b"
 CAUSE_CUES = r"\b(because|due to|owing to|caused by|as a consequence of)\b"
 
 
-def is_epithet(name: Column) -> Column:
-    return F.lower(name).rlike("|".join(EPITHETS))
-
-
 def _previous(turns: DataFrame, doubtful: Column, reach: int) -> DataFrame:
     """Links each doubtful mention to the last sure one before it, at most ``reach`` lines back."""
     before = Window.partitionBy("doc_id").orderBy("line", "frame_id", "entity").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,9 +36,9 @@ def coreferences(turns: DataFrame, reach: int = 5, doubtful: Column | None = Non
 
 
 def metaphors(turns: DataFrame, reach: int = 3) -> DataFrame:
-    """PIP-09: epithets to the plain name before them; never to themselves, nor to a pronoun."""
+    """PIP-09: names that speak of someone by a relation or a quality (STR-22) to the plain name before them; never to themselves, nor to a pronoun."""
     named = turns.where(~F.coalesce(text.is_pronoun(F.col("entity")), F.lit(False)))
-    return _previous(named, F.coalesce(is_epithet(F.col("entity")), F.lit(False)), reach)
+    return _previous(named, F.coalesce(text.is_metaphor(F.col("entity")), F.lit(False)), reach)
 
 
 ROLE_TYPES = {"karta": "Agent", "sampradana": "Agent", "locus_time": "Time", "locus_space": "Place", "locus_topic": "Concept"}

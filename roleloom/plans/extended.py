@@ -11,7 +11,7 @@ from ..sources import files, views
 from ..sources.views import table
 from ..streaming import frames as streams
 from . import engine
-from .registry import CA, EF, LOG, ME, OF, PT, SE, _re2, q
+from .registry import _PRON, CA, EF, LOG, ME, OF, PT, SE, _re2, q
 
 # --- filters
 
@@ -76,17 +76,17 @@ def _(s, d):
     return e.where(F.col("event_type").like("%_ur%")).select("event_id", F.col("event_type").alias("operation")).join(e.where("value < 20").select("event_id", "value"), "event_id")
 
 
-_FIRST = "i as (select distinct l_orderkey src, l_partkey % 60 + 1 dst from lineitem where l_linenumber = 1 and l_orderkey <= 60)"
+_ITEMS = "i as (select distinct l_orderkey src, l_partkey dst from lineitem)"
 
 
-def _first_items(s, d):
-    return table(s, d, "lineitem").where("l_linenumber = 1 and l_orderkey <= 60").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") % 60 + 1).alias("dst")).distinct()
+def _items(s, d):
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
-@q("jn10_either_endpoint", f"with {_FIRST} select o_orderkey node, case when o_orderkey = src then dst else src end other from orders join i on o_orderkey = src or o_orderkey = dst")
+@q("jn10_either_endpoint", f"with {_ITEMS} select o_orderkey node, other from orders join (select src a, dst other from i union all select dst, src from i where src <> dst) on o_orderkey = a")
 def _(s, d):
     # a match on either end is a union of two equi-joins; a loop matches once
-    i = _first_items(s, d)
+    i = _items(s, d)
     sym = i.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(i.where("src <> dst").select("dst", "src"))
     return table(s, d, "orders").select(F.col("o_orderkey").alias("node")).join(sym, "node")
 
@@ -142,11 +142,11 @@ def _(s, d):
     return steps.distinct().withColumnRenamed("src", "node")
 
 
-@q("set03_fixpoint", f"with recursive {_FIRST}, r as (select src node, dst from i union select r.node, i.dst from r join i on r.dst = i.src) select distinct dst as reached from r where node <= 5")
+@q("set03_fixpoint", f"with recursive {_ITEMS}, r as (select dst reached from i where src <= 5 union select i.dst from r join i on r.reached = i.src) select reached from r")
 def _(s, d):
-    i = _first_items(s, d)
+    i = _items(s, d)
     start = i.where("src <= 5").select(F.col("dst").alias("node"))
-    return graph.traverse(i, start, 61).select(F.col("node").alias("reached")).distinct()
+    return graph.traverse(i, start, None).select(F.col("node").alias("reached")).distinct()
 
 
 # --- text and scalar functions
@@ -255,10 +255,9 @@ def _(s, d):
     return table(s, d, "events").select("event_id", responses.reasoning_mode(asked, F.col("event_id") % 2 == 0, F.col("user_id") % 2 == 0, default).alias("mode"))
 
 
-@q("src09_byte_range", "select doc_id, left(text, 40) part from documents where strlen(left(text, 40)) = 40")
+@q("src09_byte_range", "select doc_id, left(text, list_max(list_filter(range(41), lambda n: strlen(left(text, n)) <= 40))) part from documents")
 def _(s, d):
-    x = table(s, d, "documents").where("octet_length(left(text, 40)) = 40")
-    return x.select("doc_id", files.byte_range(F.col("text"), F.lit(0), F.lit(40)).alias("part"))
+    return table(s, d, "documents").select("doc_id", files.byte_range(F.col("text"), F.lit(0), F.lit(40)).alias("part"))
 
 
 # --- pipeline operators
@@ -274,7 +273,6 @@ def _(s, d):
     return extract.extract_frames(views.document_sentences(s, d)).select("frame_id", "kriya", "karta", "karma", "status", "attempts")
 
 
-_PRON = ", ".join(f"'{p}'" for p in text.PRONOUNS)
 _TURNS = rf"""t as (select conv_id doc_id, turn line, conv_id || '_L' || turn frame_id, string_split(text, ' ')[conv_id % 7 + 1] entity, text sentence from conversations),
  p as (select *, coalesce(lower(trim(entity, E' \n\t\r')) in ({_PRON}, 'la', 'die', 'el'), false) doubtful from t),
  v as (select *, last_value(case when not doubtful and lower(trim(entity, E' \n\t\r')) <> '' then row(line, entity) end ignore nulls) over (partition by doc_id order by line, frame_id, entity rows between unbounded preceding and 1 preceding) s from p)"""
@@ -450,7 +448,7 @@ def _(s, d):
     return quality.incompatible(parts, wanted, features).select("frame_id", "filler_key")
 
 
-@q("val12_causal_paradox", f"with {CA}, x as (select src, dst from ca where substr(src, 2)::bigint % 50 = 0) select src node from x union select dst from x")
+@q("val12_causal_paradox", f"with {CA} select src node from ca union select dst from ca")
 def _(s, d):
     links = views.adjacent(views.event_frames(s, d))  # each cause doubles as its own effect
     return graph.cycle_nodes(links.union(links.select("dst", "src")))

@@ -31,8 +31,8 @@ def test_smart_split(spark):
 
 
 def test_statuses(spark):
-    got = [one(spark, x, text.status) for x in ("processing_completed", "queued", "upload_pending", None)]
-    assert got == ["completed", "processing", "uploading", "unknown"]
+    said = {"processing_completed": "completed", "queued": "processing", "upload_pending": "uploading", "Finished": "completed", "STOPPED": "failed", "processing upload": "processing", "complete": "unknown", "": "unknown", None: "unknown"}
+    assert {x: one(spark, x, text.status) for x in said} == said
 
 
 def test_questions(spark):
@@ -42,8 +42,8 @@ def test_questions(spark):
 
 
 def test_error_codes(spark):
-    said = ["Timeout", "error 429", "token limit", "401", "network down", "cannot parse", "odd"]
-    assert len({one(spark, x, text.error_code) for x in said}) == 7
+    said = {"Timeout": "LLM_TIMEOUT", "error 429": "LLM_RATE_LIMIT", "limit of\ntokens": "LLM_TOKEN_LIMIT", "401": "LLM_AUTH_ERROR", "network down": "LLM_CONNECTION_ERROR", "cannot parse": "LLM_RESPONSE_PARSE_ERROR", "odd": "LLM_UNKNOWN_ERROR"}
+    assert {x: one(spark, x, text.error_code) for x in said} == said
 
 
 def test_fidelity_and_chunks(spark):
