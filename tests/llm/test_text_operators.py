@@ -211,7 +211,8 @@ def test_languages_of_null_and_repeated_ids(spark):
 def test_many_languages(spark):
     rows = [(3 * i + k, f"{chr(0x4E00 + i) * 6} {chr(0x4E00 + i) * k}", f"l{i:03}") for i in range(90) for k in range(3)] + [(9999, chr(0x4E00 + 88) * 4, None)]
     got = identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
-    assert [r.lang_pred for r in got if r.doc_id == 9999] == ["l088"] and len({r.lang_pred for r in got}) == 90
+    learnt = {g for i, _, g in rows if g and zlib.crc32(str(i).encode()) % 3 != 1}  # of some all rows are held out
+    assert [r.lang_pred for r in got if r.doc_id == 9999] == ["l088"] and {r.lang_pred for r in got} == learnt and len(learnt) > 64
     assert kept_contexts(4) == 8192 and kept_contexts(10_000) * 256 * 4 * 10_000 <= 256 << 20
 
 
