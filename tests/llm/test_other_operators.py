@@ -213,9 +213,9 @@ def test_goals_beyond_what_there_is(spark):
 
 
 def test_topics(spark):
-    rows = ["", None, "plain words", "Copyright, all rights", "mail a@b.c", "a|b", "return x;", "licensed {", "rights @", "copyrighted"]
+    rows = ["", None, "plain words", "Copyright, all rights", "mail a@b.c", "a|b", "return x;", "licensed {", "rights @", "copyrighted", "to\u212aen", "\u0130d"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(topic_of(F.col("t"))).collect()]
-    assert got == ["prose", "prose", "prose", "legal", "contact", "table", "code", "legal", "legal", "prose"]
+    assert got == ["prose", "prose", "prose", "legal", "contact", "table", "code", "legal", "legal", "prose", "prose", "prose"]
 
 
 def test_mixing_report_and_sql(spark):
