@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from . import chat
 from .chat import conversation_digests
 from .common import read_table
+from .decontaminate import contamination_digests
 from .embeddings import embedding_links
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_components
 from .langid import identify_languages
 from .mixing import mix_sources, mixing_report
+from .negatives import mine_negatives
 from .pieces import encode_documents
 from .sharding import assign_shards
 from .substrings import removed_repeats
@@ -78,9 +80,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(conversations_with_probe(spark, sf_dir))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.expr("case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end")
+    return mine_negatives(read_table(spark, sf_dir, "embeddings"), label=moved)
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digests(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_pieces, op3_urls, op4_languages, op5_embeddings, op6_shards, op7_jaccard, op8_substrings, op9_mixing, op10_chat, mixing_residuals)
+    for f in (op1_fingerprints, op2_pieces, op3_urls, op4_languages, op5_embeddings, op6_shards, op7_jaccard, op8_substrings, op9_mixing, op10_chat, op11_negatives, op12_decontaminate, mixing_residuals)
 }
 
 
@@ -224,4 +235,38 @@ from o
 """
 
 
-ORACLES: dict[str, str] = {"op3_urls": _urls_sql(), "op9_mixing": _mixing_sql(), "op10_chat": _chat_sql()}
+def _negatives_sql() -> str:
+    return """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)) v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id anchor_id, a.label anchor_label, b.vec_id, b.label, list_inner_product(a.v, b.v)::bigint score
+  from r a join r b on len(a.v) = len(b.v) where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), p as (
+  select anchor_id, vec_id positive_id, score positive_score from s where label = anchor_label
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int rank, vec_id negative_id, positive_score, score negative_score
+from p join s on s.anchor_id = p.anchor_id and label <> anchor_label and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
+
+def _decontaminate_sql() -> str:
+    found = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+with d as (select row_number() over () r, doc_id, {found} w from documents),
+i as (select item_id, {found} w from benchmark),
+win as (select distinct item_id, least(len(w), 10) l, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') s from (select *, unnest(range(1, greatest(1, len(w) - 9) + 1)) k from i where len(w) > 0)),
+runs as (select r, k, l, array_to_string(w[k : k + l - 1], ' ') s from (select r, w, l, unnest(range(1, len(w) - l + 2)) k from d, (select distinct l from win))),
+hit as (select r, k, l, s from runs where s in (select s from win where win.l = runs.l)),
+covered as (select r, list_sort(list(distinct q)) q from (select r, unnest(range(k, k + l)) q from hit) group by r),
+island as (select r, max(n) longest, sum(n)::bigint n_hit from (select r, count(*) n from (select r, q - row_number() over (partition by r order by q) g from (select r, unnest(q) q from covered)) group by r, g) group by r),
+listed as (select r, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct r, item_id::varchar item from hit join win using (l, s) where item_id is not null) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, n_hit is not null contaminated, coalesce(longest, 0)::bigint longest
+from d left join island using (r) left join listed using (r)
+"""
+
+
+ORACLES: dict[str, str] = {"op11_negatives": _negatives_sql(), "op12_decontaminate": _decontaminate_sql(), "op3_urls": _urls_sql(), "op9_mixing": _mixing_sql(), "op10_chat": _chat_sql()}

@@ -72,13 +72,13 @@ def text_views(column: pa.Array, limit: int = CHUNK):
         at = end
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, outside: np.ndarray = SPACE):
     """Word starts, ends (bytes), hashes and the index of each text's first word (one more entry at the end)."""
     n = len(data)
     if not n:
         e = np.empty(0, np.int64)
         return e, e, np.empty(0, np.uint64), np.zeros(len(offs), np.int64)
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
