@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat
+from .alignment import alignment_digests
 from .chat import conversation_digests
 from .common import read_table
 from .decontaminate import contamination_digests
@@ -89,9 +90,13 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digests(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_pieces, op3_urls, op4_languages, op5_embeddings, op6_shards, op7_jaccard, op8_substrings, op9_mixing, op10_chat, op11_negatives, op12_decontaminate, mixing_residuals)
+    for f in (op1_fingerprints, op2_pieces, op3_urls, op4_languages, op5_embeddings, op6_shards, op7_jaccard, op8_substrings, op9_mixing, op10_chat, op11_negatives, op12_decontaminate, op13_alignment, mixing_residuals)
 }
 
 

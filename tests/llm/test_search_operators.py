@@ -147,3 +147,82 @@ def test_verbatim_matches(spark):
     docs = [(1, " ".join(["a", *body[3:25], "b", *body[:9]])), (2, " ".join([*body, *body]))]
     got = sorted(tuple(r) for r in verbatim_matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(9, " ".join(body))], "item_id bigint, text string")).collect())
     assert got == [(1, "9", 1, 3, 22), (2, "9", 0, 0, 30), (2, "9", 30, 0, 30)]
+
+
+def brute_alignment(rows):
+    """Links by byte ranges, with the libraries that the vocabularies are made for."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from roleloom.llm.alignment import BYTE_BPE, PIECES, byte_letters
+
+    ta = Tokenizer.from_file(BYTE_BPE)
+    ta.encode_special_tokens = True
+    tb = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    letters = byte_letters()
+    bytes_a = lambda i: bytes(letters[c] for c in ta.id_to_token(i))
+    bytes_b = lambda i: bytes([int(tb.id_to_piece(i)[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", tb.id_to_piece(i)) else tb.id_to_piece(i).replace("▁", " ").encode()
+    told, total = [], Counter()
+    for doc_id, text in rows:
+        a = ta.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = tb.encode(text) if text else []
+        ra, rb = list(map(bytes_a, a)), list(map(bytes_b, b))
+        if not text or b"".join(ra) != (" " + text).encode() or b"".join(rb) != (" " + text).encode():
+            told.append((doc_id, 0, 0, [], ""))
+            continue
+        ea, eb = np.cumsum([len(x) for x in ra]), np.cumsum([len(x) for x in rb])
+        links = [(x, y) for x, e, n in zip(a, ea, ra, strict=True) for y, f, m in zip(b, eb, rb, strict=True) if max(e - len(n), f - len(m)) < min(e, f)]
+        total.update(links)
+        cuts, i, j, groups = sorted(set(ea.tolist()) & set(eb.tolist())), 0, 0, []
+        for c in cuts:
+            p, q = int((ea <= c).sum()), int((eb <= c).sum())
+            groups.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
+            i, j = p, q
+        told.append((doc_id, len(a), len(b), links, ";".join(groups)))
+    most = Counter()
+    for (_, y), n in total.items():
+        most[y] = max(most[y], n)
+    out = []
+    for doc_id, n_a, n_b, links, groups in told:
+        counts = [total[x] for x in links]
+        n_best = sum(total[x, y] == most[y] for x, y in links)
+        out.append((doc_id, n_a, n_b, groups.count(";") + 1 if groups else 0, len(links), n_best, sum(counts), hashlib.sha256(groups.encode()).hexdigest() if groups else ""))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("pairs, remember", [(1 << 21, 1 << 21), (40, 50)])
+def test_alignment_against_brute_force(spark, sf_dir, monkeypatch, pairs, remember):
+    from roleloom.llm import alignment
+
+    monkeypatch.setattr(alignment, "PAIRS", pairs)
+    rng = random.Random(4)
+    parts = ["naïve", "  ", "\n\n", "<|endoftext|>", "</s>", "日本語", "🙂🙃", "don't", "12345", "é", "​", "a" * 40, "\t", "x_y", "ﬁ", " ", "▁", "<0x41>", "Ünïcödé"]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", "."]) for _ in range(rng.randrange(1, 30)))) for i in range(60 if pairs > 99 else 12)]
+    rows += [(100, None), (101, ""), (102, " "), (103, " lead"), (104, "\x00"), (105, "The quick brown fox. " * 30), rows[1], rows[1], (1, "other"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("pairs", F.lit(1)).repartition(3)
+    want = brute_alignment(rows)
+    assert sum(x[4] for x in want) > 500
+    assert sorted((tuple(r) for r in alignment.alignment_digests(df).collect()), key=str) == want
+    assert alignment.alignment_digests(df.limit(0)).count() == 0
+    lists = {r.doc_id: r for r in alignment.align_tokens(df.where("doc_id in (100, 105)")).collect()}
+    assert lists[100].a_ids == [] and lists[105].groups[-1] == (len(lists[105].a_ids), len(lists[105].b_ids))
+
+
+def test_ranks_equal_the_tokenizers_library(sf_dir):
+    from tokenizers import Tokenizer
+
+    from roleloom.llm.alignment import BYTE_BPE, ByteBpe
+
+    t = Tokenizer.from_file(BYTE_BPE)
+    t.encode_special_tokens = True
+    points = [c for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    texts = [f" a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2 !{chr(c)}?  {chr(c)}\n{chr(c)} " for c in points]
+    assert ByteBpe(BYTE_BPE).encode(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_transducer_rejects_other_bytes():
+    from roleloom.llm.alignment import Transducer
+
+    t = Transducer([b"ab", b"c"], [b"a", b"bc", b"b"])
+    assert t.align([0, 1], [0, 1]) == ([2], [2], [0, 2, 3])
+    assert t.align([0, 1], [0, 2]) is None and t.align([0], [1]) is None and t.align([0, 1], [0]) is None
