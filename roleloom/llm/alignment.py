@@ -120,11 +120,14 @@ class Transducer:
         self.names: dict[tuple[int, bytes], int] = {(0, b""): 0}
         self.states: list[tuple[int, bytes]] = [(0, b"")]
         self.memo: dict[int, int] = {}
+        self.both: dict[int, int] = {}
 
     def _step(self, state: int, token: int) -> int:
-        """The state after ``token`` (of the side that lags) is read in ``state``: twice its number, plus 1 if A leads in it; -1 if bytes differ."""
+        """The state after ``token`` (of the side that lags) is read in ``state``: twice its number, plus 1 if A leads in it; -1 if bytes differ or it has none."""
         side, suffix = self.states[state]
         raw = self.raw[token]
+        if not raw:
+            return -1
         if not suffix:
             new = (0, raw)
         elif len(raw) <= len(suffix):
@@ -146,20 +149,28 @@ class Transducer:
 
     def align(self, a: list[int], b: list[int]):
         """Ends of the groups in ``a`` and in ``b``, and the links as numbers ``b id * A's size + a id``; None if the bytes differ."""
-        if len(self.memo) > REMEMBER:
+        if len(self.memo) + len(self.both) > REMEMBER:
             self._forget()
-        memo, width, shift, step = self.memo, self.width, self.shift, self._step
+        memo, both, width, shift, step = self.memo, self.both, self.width, self.shift, self._step
         ends_a, ends_b, links = [], [], []
         i = j = state = 0
         na, nb = len(a), len(b)
         a_leads = True
-        while i < na or j < nb:
-            if not state:
-                if i == na:
-                    return None
-                key = lead = a[i]
+        while True:
+            if not state:  # the next token of A and then that of B: two transitions, remembered as one
+                if i == na or j == nb:
+                    return (ends_a, ends_b, links) if i == na and j == nb else None
+                lead = b[j] * shift + a[i]
+                links.append(lead)
+                new = both.get(lead)
+                if new is None:
+                    new = both[lead] = self._two(a[i], b[j])
+                    if new < 0:
+                        return None
+                a_leads = new & 1
+                lead = a[i] if a_leads else b[j]
                 i += 1
-                a_leads = True
+                j += 1
             elif a_leads:
                 if j == nb:
                     return None
@@ -167,6 +178,12 @@ class Transducer:
                 j += 1
                 links.append(token * shift + lead)
                 key = state * width + shift + token
+                new = memo.get(key)
+                if new is None:
+                    new = step(state, shift + token)
+                if not new & 1:  # the token that was read sticks out and leads now
+                    lead = token
+                    a_leads = 0
             else:
                 if i == na:
                     return None
@@ -174,21 +191,24 @@ class Transducer:
                 i += 1
                 links.append(lead * shift + token)
                 key = state * width + token
-            new = memo.get(key)
-            if new is None:
-                new = step(state, key - state * width)
+                new = memo.get(key)
+                if new is None:
+                    new = step(state, token)
+                if new & 1:
+                    lead = token
+                    a_leads = 1
+            if new < 2:
                 if new < 0:
                     return None
-            if new < 2:
                 ends_a.append(i)
                 ends_b.append(j)
                 state = 0
             else:
-                if state and (new & 1) != a_leads:  # the token that was read sticks out and leads now
-                    lead = token
-                    a_leads = not a_leads
                 state = new >> 1
-        return None if state else (ends_a, ends_b, links)
+
+    def _two(self, a: int, b: int) -> int:
+        first = self._step(0, a)
+        return self._step(first >> 1, self.shift + b) if first > 1 else -1
 
 
 _HELD: dict[tuple[str, str], tuple] = {}
