@@ -245,9 +245,8 @@ def _aligned(texts: list, path_a: str, path_b: str):
                 yield None
                 continue
             t, ids_a, ids_b = next(found)
-            raw = (" " + t).encode()
-            same = b"".join(map(a.raw.__getitem__, ids_a)) == raw and b"".join(map(b.raw.__getitem__, ids_b)) == raw
-            got = transducer.align(ids_a, ids_b) if same else None
+            same = b"".join(map(a.raw.__getitem__, ids_a)) == (" " + t).encode()
+            got = transducer.align(ids_a, ids_b) if same else None  # B's bytes are A's, or there is no alignment
             yield None if got is None else (ids_a, ids_b, *got)
 
 

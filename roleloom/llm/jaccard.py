@@ -320,6 +320,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
         return materialize(_components(docs, k, Fraction(threshold), id_col), "jaccard", outer=True)
 
 
+def _same_ids(real: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` from every id that has several sets to the classes of all of them."""
+    part = ("h1", "h2", "n")
+    differ = " or ".join(f"l_{c} < m_{c}" for c in part)
+    several = real.groupBy("id").agg(*(f(c).alias(f"{x}_{c}") for c in part for x, f in (("l", F.min), ("m", F.max)))).where(differ).select("id")
+    return real.join(several, "id", "left_semi").join(classes, list(part)).where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
+
+
 def _components(docs: DataFrame, k: int, t: Fraction, id_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
@@ -340,7 +348,8 @@ def _components(docs: DataFrame, k: int, t: Fraction, id_col: str) -> DataFrame:
     often = shared.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("times"))
     best = Window.partitionBy("id").orderBy(F.desc("times"), "leader")
     pairs = often.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS).select(F.col("id").alias("src"), F.col("leader").alias("dst"))
-    links = verify(pairs)
+    same = materialize(_same_ids(real, classes), "same-ids")
+    links = verify(pairs).union(same)
     # the rest across components
     label = materialize(connected_components(links), "labels").select(F.col("node").alias("id"), F.col("component").alias("c"))
     named = shared.join(label, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"), "rows")

@@ -139,17 +139,20 @@ def train(rows: DataFrame, sample: int = SAMPLE, contexts: int = CONTEXTS) -> Mo
     """A model of ``rows(doc_id, text, lang)``; rows without text or lang are not used.
 
     A bounded sample is learnt from: of each language the rows whose hash of id
-    and text lies below ``sample / rows of the language`` (whole texts, equal
-    ones once).  Every value of lang is learnt.  Counts are summed and contexts
+    and text lies below ``sample / different pairs of id and text`` (told to
+    2 %), and those of the least hash (whole texts, equal ones once).  So
+    repeated rows do not thin the sample out, and every value of lang that has a
+    text is learnt.  Counts are summed and contexts
     chosen in Spark; what reaches the driver is bounded by the contexts kept.
     """
     rows = rows.where("text is not null and lang is not null").select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().collect()
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("train")), F.lit(1_000_003))
+    mark = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(mark, 0.02).alias("many"), F.min(drawn).alias("least")).collect()
     if not sizes:
         return Model([], {})
     spark = rows.sparkSession
-    share = spark.createDataFrame([(r[0], min(1.0, sample / r[1])) for r in sizes], "lang string, share double")
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("train")), F.lit(1_000_003)) / 1_000_003.0
+    share = spark.createDataFrame([(r[0], max(float(r[2] + 1), 1_000_003.0 * sample / max(1, r[1]))) for r in sizes], "lang string, share double")
     picked = rows.join(F.broadcast(share), "lang").where(drawn < F.col("share")).select("lang", "text").distinct()  # one row for each lang
     grams = map_arrow(picked, _count, "lang string, ord int, gram bigint, n bigint").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     with scratch(spark):

@@ -416,3 +416,54 @@ def test_pigeonhole_bound():
                     both = -(-t.numerator * (a + c) // (t.numerator + t.denominator))  # least intersection
                     assert m + d > a + c - 2 * both
                     assert a + c - 2 * both <= max_difference(c, t)
+
+
+def components_of_rows(rows, k, t):
+    """Components by brute force where ids may repeat: rows of one id are one node."""
+    sets = []
+    for _, text in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            i, u = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if rows[a][0] == rows[b][0] or (u and i * t.denominator >= u * t.numerator):
+                top[find(a)] = find(b)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        least[find(x)] = min(i, least.get(find(x), i))
+    return sorted({(rows[x][0], least[find(x)]) for x in range(len(rows))})
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    a, b = "a b c d e", "q r s t u v"
+    cases = [[(3, a), (5, a), (5, b), (4, b)]]
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        texts = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(25)]
+        texts += [t + " zz" for t in texts[:10]]
+        cases.append([(rng.randrange(40), rng.choice(texts)) for _ in range(70)])
+    for rows in cases:
+        data = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        got = sorted({(r.doc_id, r.component_id) for r in jaccard_components(data, 3, Fraction(9, 10)).collect()})
+        assert got == components_of_rows(rows, 3, Fraction(9, 10))
+
+
+def test_languages_of_few_texts_in_many_rows(spark):
+    """Six languages of 8000 rows without ids, one or two texts each: all are learnt."""
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "éèêôû"]
+    texts = {}
+    for i, alphabet in enumerate(letters):
+        rng = random.Random(i)
+        texts[f"l{i}"] = [" ".join("".join(rng.choice(alphabet) for _ in range(4)) for _ in range(30)) for _ in range(1 if i == 2 else 2)]
+    rows = [(None, t, lang) for lang, some in texts.items() for t in some]
+    data = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(4000)))).drop("n")
+    found = {r.lang_pred: r["count"] for r in identify_languages(data).groupBy("lang_pred").count().collect()}
+    assert found == {lang: 4000 * len(some) for lang, some in texts.items()}
