@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop by a checkpoint in the shared folder (a temporary one in local mode)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured and not sc.master.startswith("local["):
-            configured = f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="roleloom-"))
-    return df.checkpoint()
+    """Cuts the lineage of a loop by a table in the shared folder, which also tells later joins its size.
+
+    The folder is that of ``spark.checkpoint.dir``, else one in the warehouse;
+    the files go when the application ends.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_roleloom"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex[:16]}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
 def neighbours(edges: DataFrame, node: Column, direction: str = "both") -> DataFrame:

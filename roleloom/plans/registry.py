@@ -256,19 +256,6 @@ def _(s, d):
     return k.join(k.groupBy("canonical").agg((F.count("*") - 1).alias("connected")), "canonical").select("node", "canonical", "connected")
 
 
-@q("jn17_identity_confidence", f"with {_ID} select a.src, b.dst, round(max((1.0 / (1 + a.dst - a.src)) * (1.0 / (1 + b.dst - b.src))), 9) conf from i a join i b on a.dst = b.src group by all")
-def _(s, d):
-    i = _identities(s, d).withColumn("c", F.lit(1.0) / (1 + F.col("dst") - F.col("src")))
-    j = i.alias("a").join(i.alias("b"), F.col("a.dst") == F.col("b.src"))
-    return j.groupBy("a.src", "b.dst").agg(F.round(F.max(F.col("a.c") * F.col("b.c")), 9).alias("conf"))
-
-
-@q("jn18_provenance", f"with recursive {CA}, t as (select 'E9' node, 0 depth union select dst, depth + 1 from t join ca on src = node) select node, min(depth)::int depth from t group by 1")
-def _(s, d):
-    derive = views.adjacent(views.event_frames(s, d)).select(F.col("src").alias("conclusion"), F.col("dst").alias("evidence"))
-    return graph.provenance(derive, s.sql("select 'E9' as node"))
-
-
 @q("jn19_before_event", f"with {EF} select frame_id, before from (select frame_id, kriya, lag(kriya) over (partition by karta order by ts, event_id) before from e) where kriya = 'purchase' and before is not null")
 def _(s, d):
     w = Window.partitionBy("karta").orderBy("ts", "event_id")
@@ -468,14 +455,6 @@ def _(s, d):
     return views.event_frames(s, d).select("frame_id", F.lead("ts").over(w).alias("valid_to"), F.lead("frame_id").over(w).alias("closed_by"))
 
 
-@q("win08_multi_index_ranks", f"with {EF} select frame_id, rank() over (partition by karta order by event_id)::int alpha, rank() over (partition by karta order by ts)::int tau, dense_rank() over (partition by karta order by value desc)::int omega from e")
-def _(s, d):
-    w = Window.partitionBy("karta")
-    return views.event_frames(s, d).select(
-        "frame_id", F.rank().over(w.orderBy("event_id")).alias("alpha"), F.rank().over(w.orderBy("ts")).alias("tau"), F.dense_rank().over(w.orderBy(F.desc("value"))).alias("omega")
-    )
-
-
 @q("win09_first_per_key", "select text_hash, doc_id from (select sha256(text) text_hash, doc_id, row_number() over (partition by text order by doc_id) r from documents where text <> '') where r = 1")
 def _(s, d):
     x = table(s, d, "documents").where("text <> ''").groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("text_hash"))
@@ -820,19 +799,6 @@ def _(s, d):
     return a.join(b, same[0] & same[1] & same[2] & later & (F.col("a.value") != F.col("b.value"))).select(F.col("a.frame_id").alias("winner"), F.col("b.frame_id").alias("loser"))
 
 
-@q("pip21_cycles", "with recursive g as (select distinct l_suppkey a, l_partkey % 40 + 1 b from lineitem), r as (select a, b from g union select r.a, g.b from r join g on r.b = g.a), c as (select distinct a from r where a = b) select distinct x.a node from (select a from c union select r1.b from r r1 join c on r1.a = c.a join r r2 on r2.a = r1.b join c c2 on r2.b = c2.a) x")
-def _(s, d):
-    g = table(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 40 + 1).alias("dst"))
-    return graph.cycle_nodes(g)
-
-
-@q("pip22_upper_bounds", f"with recursive {CA}, kn as (select frame_id ev, ts from e where kriya = 'purchase'), nd as (select src ev from ca union select dst from ca union select ev from kn), w as (select ev, ev o from nd union select w.ev, ca.dst from w join ca on w.o = ca.src where w.o not in (select ev from kn)) select nd.ev as event, case when nd.ev in (select ev from kn) then (select ts from kn where kn.ev = nd.ev) else (select min(ts) from w join kn on w.o = kn.ev where w.ev = nd.ev) end bound from nd")
-def _(s, d):
-    e = views.event_frames(s, d)
-    before = views.adjacent(e).select(F.col("src").alias("e1"), F.col("dst").alias("e2"))
-    return graph.upper_bounds(before, e.where("kriya = 'purchase'").select(F.col("frame_id").alias("event"), F.col("ts").alias("at"))).select("event", "bound")
-
-
 @q("pip31_hypotheses", f"with {EF} select karta, frame_id, rank() over (partition by karta, kriya order by value desc)::int place from e where value > 20")
 def _(s, d):
     w = Window.partitionBy("karta", "kriya").orderBy(F.desc("value"))
@@ -894,4 +860,4 @@ def _(s, d):
     return streams.run_once(streams.frame_counts(streams.stream_table(s, d, "events").select(F.col("event_type").alias("kriya"))), "stm03", "complete")
 
 
-from . import extended  # noqa: E402,F401  registers the rest with q
+from . import deep, extended  # noqa: E402,F401  register the rest with q
