@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chains, correction
+from ..operators import chains, correction, extract, facts, graphwriter
 from ..sources import views
-from .registry import _ID, CA, EF, _identities, q
+from .registry import _ID, CA, EF, OF, _identities, q
 
 
 @q("jn17_identity_confidence", f"with recursive {_ID}, ic as (select src, dst, 1.0::double / (1 + dst - src) c from i), p as (select src, dst, c conf, 1 h from ic union all select p.src, ic.dst, p.conf * ic.c, h + 1 from p join ic on p.dst = ic.src where h < 3) select src, dst, round(max(conf), 9) conf from p group by all")
@@ -77,3 +79,75 @@ def _(s, d):
     false = uses.where("wrong").select("conclusion").distinct()
     costs = correction.retraction_costs(uses, false)
     return correction.minimal_correction(uses.where("wrong").select(F.col("conclusion").alias("conflict"), "identity"), costs)
+
+
+def _order_roles(s, d):
+    """Order frames with their filled roles; only urgent ones carry the topic, for which the graph has no relation."""
+    f = views.order_frames(s, d).withColumn("locus_topic", F.when(F.col("locus_topic").startswith("1"), F.col("locus_topic")))
+    return f.select("frame_id", F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("line"), "kriya", graphwriter.role_map(f).alias("roles"), F.lit(None).cast("array<struct<pronoun:string,referent:string,context:string>>").alias("hints"))
+
+
+def _graph_folder(s):
+    """A folder that executors share; it goes when the application ends."""
+    path = f"{s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')}/graph-{uuid.uuid4().hex[:12]}"
+    p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+@q(
+    "pip07_graph_records",
+    f"""with {OF}, g as (select *, kriya || '@' || frame_id me, o_orderkey || '_L0' place from o where locus_topic not like '1%'),
+ r as (select * from (select me, 'HAS_KARTĀ' relation, karta x from g union all select me, 'TARGETS_SAMPRADĀNA', sampradana from g union all select me, 'OCCURS_AT', locus_time from g union all select me, 'LOCATED_IN', locus_space from g) where trim(x) <> '')
+select kind, id, type, relation, dst, note from (
+ select 'node' kind, me id, 'Kriya' as type, null relation, null dst, null note from g union select 'node', place, 'Document', null, null, null from g union select 'node', lower(trim(x)), 'Entity', null, null, null from r
+ union all select 'edge', me, null, 'CITED_IN', place, null from g union all select 'edge', me, null, relation, lower(trim(x)), null from r
+ union all select 'quarantine', frame_id, null, null, null, 'UNKNOWN_ROLE:locus_topic' from o where locus_topic like '1%')""",
+)
+def _(s, d):
+    path = _graph_folder(s)
+    for _ in range(2):  # a second run of the batch changes nothing
+        graphwriter.write_graph(_order_roles(s, d), path, "orders")
+    return graphwriter.read_graph(s, path).select("kind", "id", "type", "relation", "dst", "note")
+
+
+@q("pip07_document_graph")
+def _(s, d):
+    f = extract.extract_frames(views.document_sentences(s, d))
+    f = f.select("frame_id", "doc_id", "line", "kriya", graphwriter.role_map(f).alias("roles"), F.lit(None).cast("array<struct<pronoun:string,referent:string,context:string>>").alias("hints"))
+    path = _graph_folder(s)
+    graphwriter.write_graph(f, path, "documents")
+    return graphwriter.read_graph(s, path).groupBy("kind", "type", "relation").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("dst").alias("dsts"))
+
+
+@q(
+    "pip20_contradiction_log",
+    f"""with {EF}, f as (select event_id fact_id, karta, kriya, karma, value, ts valid_from, ts + interval 2 day valid_to, date_trunc('month', ts) recency, floor(value)::bigint % 2 = 0 explicit, floor(value * 10)::bigint % 3 authority, floor(value * 100)::bigint % 4 specificity from e where value is not null),
+ b as (select *, unnest(range(epoch_ms(valid_from) // 2592000000, epoch_ms(valid_to) // 2592000000 + 1)) bucket from f),
+ w as (select *, first_value(fact_id) over z w_id, first_value(value) over z w_value, first_value(valid_from) over z w_from, first_value(valid_to) over z w_to, first_value(recency) over z w1, first_value(explicit) over z w2, first_value(authority) over z w3, first_value(specificity) over z w4
+  from b window z as (partition by karta, kriya, karma, bucket order by recency desc, explicit desc, authority desc, specificity desc, fact_id)),
+ l as (select distinct w_id winner, fact_id loser, case when recency <> w1 then 'temporal_recency' when explicit <> w2 then 'explicit_over_inferred' when authority <> w3 then 'domain_authority' when specificity <> w4 then 'specificity' else 'manual_review' end rule
+  from w where karma is not null and value <> w_value and valid_from <= w_to and w_from <= valid_to)
+select *, case rule when 'manual_review' then 'CONTRADICTION_UNRESOLVED' else 'resolved' end status from l""",
+)
+def _(s, d):
+    e = views.event_frames(s, d).where("karma is not null")
+    part = lambda scale, n: F.floor(F.col("value") * scale) % n
+    f = e.select(
+        F.col("event_id").alias("fact_id"), "karta", "kriya", "karma", "value", F.col("ts").alias("valid_from"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("valid_to"), F.date_trunc("month", "ts").alias("recency"),
+        (part(1, 2) == 0).alias("explicit"), part(10, 3).alias("authority"), part(100, 4).alias("specificity"),
+    )
+    return facts.contradictions(f, ["karta", "kriya", "karma"])
+
+
+@q(
+    "agg23_merged_events",
+    f"""with {EF}, m as (select *, case kriya when 'purchase' then 'singleton' when 'view' then 'unbounded' else 'bounded' end kind from e),
+ c as (select *, case when ts <= lag(ts) over w + interval 1 day then 0 else 1 end cut from m window w as (partition by karta, kriya, karma order by ts, event_id)),
+ r as (select *, case kind when 'singleton' then 0 when 'unbounded' then event_id else sum(cut) over (partition by karta, kriya, karma order by ts, event_id rows unbounded preceding) end run from c)
+select karta, kriya, karma, kind, min(event_id) as event, count(*) n, min(ts) first_at, max(ts) last_at, array_to_string(list_sort(list(distinct strftime(ts, '%Y-%m'))), ',') sources from r group by karta, kriya, karma, kind, run""",
+)
+def _(s, d):
+    e = views.event_frames(s, d).withColumn("at", F.col("ts")).withColumn("source", F.date_format("ts", "yyyy-MM"))
+    kind = F.when(F.col("kriya") == "purchase", "singleton").when(F.col("kriya") == "view", "unbounded").otherwise("bounded")
+    return facts.merged_events(e, ["karta", "kriya", "karma"], kind).withColumn("sources", F.array_join("sources", ","))
