@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import belief, frames, graph, oplog, quality
+from ..operators import belief, containment, frames, graph, oplog, quality
 from ..sources import views
 from ..sources.views import table
 from ..streaming import frames as streams
@@ -606,11 +606,7 @@ def _(s, d):
 
 @q("str15_coverage", "select item_id, doc_id, position(b.text in d.text) place from benchmark b join documents d on contains(d.text, b.text) where length(b.text) > 0")
 def _(s, d):
-    b = table(s, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("needle"))
-    doc = table(s, d, "documents")
-    # few benchmark items: a stated set of needles, broadcast after its size is checked
-    needles = F.broadcast(b) if b.count() <= 10_000 else b
-    return doc.join(needles, F.contains("text", "needle")).select("item_id", "doc_id", F.instr(F.col("text"), F.col("needle")).cast("bigint").alias("place"))
+    return containment.occurrences(table(s, d, "documents"), table(s, d, "benchmark").where("length(text) > 0")).select("item_id", "doc_id", "place")
 
 
 @q("str18_token_estimate", "select doc_id, case when coalesce(text, '') = '' then 0 else greatest(1, length(text) // 4) end tokens from documents")
@@ -626,9 +622,9 @@ def _(s, d):
 
 @q("str20_grounding", "select item_id, count(d.doc_id) n from benchmark b left join documents d on contains(lower(d.text), lower(b.text)) group by 1")
 def _(s, d):
-    b = table(s, d, "benchmark").select("item_id", F.lower("text").alias("needle"))
-    hits = table(s, d, "documents").select("doc_id", F.lower("text").alias("t")).join(F.broadcast(b) if b.count() <= 10_000 else b, F.contains("t", "needle"))
-    return b.select("item_id").join(hits.select("item_id", "doc_id"), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n"))
+    b = table(s, d, "benchmark")
+    n = containment.occurrences(table(s, d, "documents"), b, fold=True).groupBy("item_id").agg(F.count("doc_id").alias("n"))
+    return b.select("item_id").distinct().join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _PRON = "'he', 'she', 'it', 'they', 'him', 'her', 'his', 'hers', 'its', 'their', 'theirs', 'which', 'that', 'who', 'whom', 'this', 'these', 'those'"
@@ -860,4 +856,4 @@ def _(s, d):
     return streams.run_once(streams.frame_counts(streams.stream_table(s, d, "events").select(F.col("event_type").alias("kriya"))), "stm03", "complete")
 
 
-from . import deep, extended  # noqa: E402,F401  register the rest with q
+from . import deep, extended, located  # noqa: E402,F401  register the rest with q
