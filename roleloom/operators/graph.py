@@ -5,22 +5,28 @@ from __future__ import annotations
 import itertools
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop by a table in the shared folder, which also tells later joins its size.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in that of ``spark.checkpoint.dir``, else in the warehouse.
 
-    The folder is that of ``spark.checkpoint.dir``, else one in the warehouse;
-    the files go when the application ends.
+    Its files go when the application ends.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_roleloom"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex[:16]}")
-    df.write.parquet(path.toString())
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(path.toString())
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)  # keeps in mind only what exists
+    return path.toString()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a loop by a table in a shared folder, which also tells later joins its size."""
+    path = f"{shared_folder(df.sparkSession, 'stored')}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def neighbours(edges: DataFrame, node: Column, direction: str = "both") -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chains, correction, extract, facts, graphwriter
+from ..operators.graph import shared_folder
 from ..sources import views
 from .registry import _ID, CA, EF, OF, _identities, q
 
@@ -87,14 +86,6 @@ def _order_roles(s, d):
     return f.select("frame_id", F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("line"), "kriya", graphwriter.role_map(f).alias("roles"), F.lit(None).cast("array<struct<pronoun:string,referent:string,context:string>>").alias("hints"))
 
 
-def _graph_folder(s):
-    """A folder that executors share; it goes when the application ends."""
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')}/graph-{uuid.uuid4().hex[:12]}"
-    p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
 @q(
     "pip07_graph_records",
     f"""with {OF}, g as (select *, kriya || '@' || frame_id me, o_orderkey || '_L0' place from o where locus_topic not like '1%'),
@@ -105,7 +96,7 @@ select kind, id, type, relation, dst, note from (
  union all select 'quarantine', frame_id, null, null, null, 'UNKNOWN_ROLE:locus_topic' from o where locus_topic like '1%')""",
 )
 def _(s, d):
-    path = _graph_folder(s)
+    path = shared_folder(s, "graph")
     for _ in range(2):  # a second run of the batch changes nothing
         graphwriter.write_graph(_order_roles(s, d), path, "orders")
     return graphwriter.read_graph(s, path).select("kind", "id", "type", "relation", "dst", "note")
@@ -115,7 +106,7 @@ def _(s, d):
 def _(s, d):
     f = extract.extract_frames(views.document_sentences(s, d))
     f = f.select("frame_id", "doc_id", "line", "kriya", graphwriter.role_map(f).alias("roles"), F.lit(None).cast("array<struct<pronoun:string,referent:string,context:string>>").alias("hints"))
-    path = _graph_folder(s)
+    path = shared_folder(s, "graph")
     graphwriter.write_graph(f, path, "documents")
     return graphwriter.read_graph(s, path).groupBy("kind", "type", "relation").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("dst").alias("dsts"))
 

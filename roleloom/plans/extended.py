@@ -470,4 +470,4 @@ def _(s, d):
 @q("stm04_upserted_frames", "select 'U' || user_id frame_id, max(event_id) version, max_by(event_type, event_id) kriya from events group by 1")
 def _(s, d):
     changes = streams.stream_table(s, d, "events").select(F.concat(F.lit("U"), "user_id").alias("frame_id"), F.col("event_id").alias("version"), F.col("event_type").alias("kriya"))
-    return streams.run_once(streams.upserted(changes), "stm04", "update")
+    return streams.run_once(streams.upserted(changes), "update", keys=["frame_id"])

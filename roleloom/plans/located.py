@@ -1,4 +1,4 @@
-"""Queries on the places of sentences in texts and on paths between nodes, with their DuckDB SQL."""
+"""Queries on places of sentences in texts, on paths between nodes and on streams into tables, with their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import containment, divergence, spans
 from ..sources.views import table
+from ..streaming import frames as streams
 from .registry import _ID, _identities, q
 
 #: Characters of a chunk, and how far the next one starts behind it.
@@ -68,3 +69,25 @@ def _(s, d):
     gap = F.col("dst") - F.col("src")
     edges = i.select("src", "dst", F.lit(True).alias("identity"), (gap <= 10).alias("one"), (gap <= 20).alias("two"))
     return divergence.divergences(edges, i.groupBy(F.col("src").alias("pair")).agg(F.max("dst").alias("dst")).withColumn("src", F.col("pair")))
+
+
+@q(
+    "stm05_quarantined",
+    "select conv_id, turn, problem, case when problem is null then 'accepted' else 'quarantine' end kind from (select *, case when trim(coalesce(text, '')) = '' then 'EMPTY' when role is null or role not in ('user', 'assistant') then 'UNKNOWN_ROLE' end problem from conversations)",
+)
+def _(s, d):
+    problem = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "EMPTY").when(F.col("role").isNull() | ~F.col("role").isin("user", "assistant"), "UNKNOWN_ROLE")
+    return streams.run_once(streams.stream_table(s, d, "conversations"), "append", problem=problem).select("conv_id", "turn", "problem", "kind")
+
+
+@q(
+    "stm06_stable_documents",
+    """with x as (select user_id doc_id, event_id % 10 chunk, ts "at" from events), f as (select doc_id, chunk, min("at") f from x where chunk < 9 group by all),
+ r as (select doc_id, max(f) ready from f group by 1 having count(*) = 9), g as (select doc_id, "at", lead("at") over (partition by doc_id order by "at") nxt from x),
+ l as (select doc_id, min("at") last_at from g join r using (doc_id) where "at" >= ready and case when nxt is null then (select max("at") from x) > "at" + interval 12 hour else nxt >= "at" + interval 12 hour end group by 1)
+select doc_id, count(distinct chunk) n_seen, 10::bigint n_chunks, last_at from l join x using (doc_id) where "at" <= last_at group by doc_id, last_at""",
+)
+def _(s, d):
+    e = streams.stream_table(s, d, "events")
+    chunks = e.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 10).alias("chunk"), F.lit(10).alias("n_chunks"), F.col("ts").alias("at"))
+    return streams.run_once(streams.stable_documents(chunks, quiet="12 hours"), "append")

@@ -848,12 +848,12 @@ def _(s, d):
 
 @q("stm01_sentence_stream")
 def _(s, d):
-    return streams.run_once(streams.sentence_stream(streams.stream_table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text")), "stm01", "append")
+    return streams.run_once(streams.sentence_stream(streams.stream_table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text")), "append")
 
 
 @q("stm03_frame_counts", "select event_type kriya, count(*) n from events group by 1")
 def _(s, d):
-    return streams.run_once(streams.frame_counts(streams.stream_table(s, d, "events").select(F.col("event_type").alias("kriya"))), "stm03", "complete")
+    return streams.run_once(streams.frame_counts(streams.stream_table(s, d, "events").select(F.col("event_type").alias("kriya"))), "complete")
 
 
 from . import deep, extended, located  # noqa: E402,F401  register the rest with q

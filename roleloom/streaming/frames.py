@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions import text
+from ..operators.graph import shared_folder
 
 #: Message types that the router accepts.
 MESSAGES = ["process_text", "ask_question", "get_frames", "get_graph", "clear", "load_demo", "load_stress_test"]
@@ -40,11 +46,53 @@ def session_counts(events: DataFrame, gap: str = "5 minutes") -> DataFrame:
     return events.withWatermark("ts", gap).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
 
 
-def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns the result as a table in memory (for small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def landing(path: str, problem: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """STM-05: a ``foreachBatch`` function that writes every batch under ``path``.
+
+    Rows for which ``problem`` is not null go to ``kind=quarantine`` with it, all others to ``kind=accepted``, in one
+    job.  A batch has a folder of its own and takes the place of what an earlier try of it left, so that after a
+    restart every row is there once.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        told = rows.withColumn("problem", F.lit(None).cast("string") if problem is None else problem)
+        told = told.withColumn("kind", F.when(F.col("problem").isNull(), "accepted").otherwise("quarantine"))
+        told.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
+def start_landing(stream: DataFrame, path: str, mode: str = "append", problem: Column | None = None) -> StreamingQuery:
+    """STM-05: starts ``stream`` over what is there, into ``path``/table; its progress is in ``path``/progress, from which
+    a later start goes on."""
+    sink = stream.writeStream.foreachBatch(landing(f"{path}/table", problem)).outputMode(mode)
+    return sink.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+
+
+def landed(stream: DataFrame, path: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``stream`` that ``path`` holds, with ``kind`` and ``problem``: all of them; for ``complete`` those of
+    the last batch; with ``keys`` the newest of each key."""
+    spark, names = stream.sparkSession, stream.columns
+    schema = T.StructType([*stream.schema.fields, T.StructField("problem", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("batch", T.LongType())])
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/table")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)  # a stream without a batch wrote none
+    rows = spark.read.schema(schema).parquet(f"{path}/table")
+    if mode == "complete":
+        rows = rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi")
+    if keys:
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in [*names, "problem", "kind"] if c not in keys]), "batch").alias("r")).select(*keys, "r.*")
+    return rows.select(*names, "problem", "kind")
+
+
+def run_once(stream: DataFrame, mode: str, keys: Sequence[str] = (), problem: Column | None = None) -> DataFrame:
+    """Runs a stream over what is there, into a table in the folder that executors share, and returns its rows.
+
+    The folder goes when the application ends.  ``problem`` and ``kind`` are among the columns if ``problem`` is given.
+    """
+    path = shared_folder(stream.sparkSession, "stream")
+    start_landing(stream, path, mode, problem).awaitTermination()
+    rows = landed(stream, path, mode, keys)
+    return rows if problem is not None else rows.select(*stream.columns)
 
 
 def upserted(changes: DataFrame) -> DataFrame:
@@ -82,3 +130,54 @@ def completed_documents(chunks: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": [key[0]], "n": [len(seen)]})
 
     return chunks.groupBy("doc_id").applyInPandasWithState(step, "doc_id bigint, n bigint", "seen array<bigint>, total bigint, told boolean", "update", "NoTimeout")
+
+
+def stable_documents(chunks: DataFrame, quiet: str = "5 minutes", late: str = "0 seconds", tail: float = 0.1) -> DataFrame:
+    """STM-06: documents of ``chunks(doc_id, chunk, n_chunks, at)`` that are complete and have been quiet.
+
+    A document is complete when all its chunks but those of the last ``tail`` have arrived (numbered from 0; of several
+    totals the last told counts, so chunk borders may still move).  It is reported once, when no chunk has come for
+    ``quiet`` of event time, by a timer or by the chunk that ends the pause: ``doc_id, n_seen, n_chunks, last_at``.
+    Rows later than ``late`` behind the newest are left out, and so are those with a null; after its report a document
+    is not reported again.
+    """
+    pause = pd.Timedelta(quiet).value // 1000
+    zoned = chunks.schema["at"].dataType != T.TimestampNTZType()
+
+    def step(key, batches, state: GroupState):
+        seen, total, last, told = state.get if state.exists else ([], 0, None, False)
+        seen = set(seen)
+
+        def report():
+            done = last is not None and not told and all(c in seen for c in range(math.ceil(total * (1 - tail))))
+            return pd.DataFrame({"doc_id": [key[0]], "n_seen": [len(seen)], "n_chunks": [total], "us": [last]}) if done else None
+
+        if state.hasTimedOut:
+            out = report()
+            told = told or out is not None
+            state.update((sorted(seen), total, last, told))
+            if out is not None:
+                yield out
+            return
+        rows = pd.concat(list(batches)).sort_values(["us", "chunk"])
+        for chunk, n_chunks, now in rows[["chunk", "n_chunks", "us"]].itertuples(index=False):
+            if last is not None and now >= last + pause and (out := report()) is not None:
+                told = True
+                yield out
+            if told:
+                break
+            seen.add(int(chunk))
+            if last is None or now >= last:
+                total, last = int(n_chunks), int(now)
+        state.update(([] if told else sorted(seen), total, last, told))
+        if not told:
+            state.setTimeoutTimestamp(max((last + pause) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    # a time without a zone is taken as it stands; micros keep the session's zone out of the state
+    at = F.col("at") if zoned else F.expr("timestamp '1970-01-01 00:00:00Z' + (at - timestamp_ntz '1970-01-01 00:00:00')")
+    back = F.timestamp_micros("us") if zoned else F.expr("timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(us / 1000000bd as decimal(18, 6)))")
+    rows = chunks.select("doc_id", "chunk", "n_chunks", at.alias("at")).where("doc_id is not null and chunk is not null and n_chunks is not null and at is not null")
+    found = rows.withColumn("us", F.unix_micros("at")).withWatermark("at", late).groupBy("doc_id").applyInPandasWithState(
+        step, "doc_id bigint, n_seen bigint, n_chunks bigint, us bigint", "seen array<bigint>, total bigint, last bigint, told boolean", "append", "EventTimeTimeout"
+    )
+    return found.select("doc_id", "n_seen", "n_chunks", back.alias("last_at"))

@@ -175,7 +175,7 @@ def test_completed_documents(spark, tmp_path):
     for i, rows in enumerate([[(1, 0, 2), (2, 0, 1)], [(1, 0, 2)], [(1, 1, 2)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = streams.run_once(streams.completed_documents(stream), "done", "update").collect()
+    got = streams.run_once(streams.completed_documents(stream), "update").collect()
     assert sorted((r.doc_id, r.n) for r in got) == [(1, 2), (2, 1)]
 
 
