@@ -36,6 +36,17 @@ def neighbours(edges: DataFrame, node: Column, direction: str = "both") -> DataF
     return out if direction == "out" else into if direction == "in" else out.union(into)
 
 
+def expanded(edges: DataFrame, start: DataFrame, relation: str | None = None) -> DataFrame:
+    """JN-13: ``start(question, node)`` with the nodes one edge away in either direction, each once a question.
+
+    ``relation`` takes only those edges.  Nodes without an edge stay; null nodes have no neighbour.
+    """
+    e = edges if relation is None else edges.where(F.col("relation") == relation)
+    ways = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("w")
+    near = start.join(e.select(ways).select("w.*"), "node").select("question", F.col("other").alias("node"))
+    return start.select("question", "node").union(near).distinct()
+
+
 def traverse(edges: DataFrame, start: DataFrame, max_hops: int | None, direction: str = "out") -> DataFrame:
     """JN-11: nodes at distance up to ``max_hops - 1`` (None: any) of ``start(node)``, the start included, with their distance."""
     step = edges.select("src", "dst")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import containment, divergence, spans
+from ..operators import containment, divergence, graph, spans
+from ..sources import views
 from ..sources.views import table
 from ..streaming import frames as streams
-from .registry import _ID, _identities, q
+from .registry import _ID, CA, _identities, q
 
 #: Characters of a chunk, and how far the next one starts behind it.
 SIZE, STEP = 400, 300
@@ -56,6 +57,12 @@ def _(s, d):
     return spans.covered(found.select("doc_id", (F.col("place") - 1).alias("start"), (F.col("place") - 1 + F.col("n")).alias("stop")))
 
 
+@q("jn13_causal_neighbours", f"with {CA}, s as (select kriya question, frame_id node from e where value > 20) select * from s union select question, dst from s join ca on node = src union select question, src from s join ca on node = dst")
+def _(s, d):
+    e = views.event_frames(s, d)
+    return graph.expanded(views.adjacent(e), e.where("value > 20").select(F.col("kriya").alias("question"), F.col("frame_id").alias("node")))
+
+
 @q(
     "pip32_path_divergence",
     f"""with recursive {_ID}, pr as (select src pair, src, max(dst) dst from i group by src), f as (select pair, src node from pr union select f.pair, i.dst from f join i on f.node = i.src),

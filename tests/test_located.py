@@ -2,7 +2,7 @@
 
 import random
 
-from roleloom.operators import containment, divergence, spans
+from roleloom.operators import containment, divergence, graph, spans
 
 
 def _text(rng, words):
@@ -102,3 +102,11 @@ def test_path_divergence_equals_brute_force(spark):
     got = divergence.divergences(e, spark.createDataFrame(pairs, "pair int, src int, dst int")).collect()
     assert {r.pair: (r.n_identities, r.n_differing) for r in got} == want
     assert all((r.verdict == "DIVERGENCE") == (r.n_differing > 0) for r in got) and want[90] == (1, 1) and want[91] == (0, 0)
+
+
+def test_expanded(spark):
+    e = spark.createDataFrame([(1, 2, "CAUSES"), (1, 2, "CAUSES"), (2, 3, "CAUSES"), (3, 3, "CAUSES"), (4, 1, "HAS"), (5, 1, "CAUSES"), (None, 1, "CAUSES")], "src int, dst int, relation string")
+    start = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 9), ("d", None)], "question string, node int")
+    got = {(r.question, r.node) for r in graph.expanded(e.where("src is not null"), start, "CAUSES").collect()}
+    assert got == {("a", 1), ("a", 2), ("a", 3), ("a", 5), ("b", 3), ("b", 2), ("c", 9), ("d", None)}
+    assert ("a", 4) in {(r.question, r.node) for r in graph.expanded(e, start).collect()} and graph.expanded(e.limit(0), start).count() == 5
