@@ -856,4 +856,4 @@ def _(s, d):
     return streams.run_once(streams.frame_counts(streams.stream_table(s, d, "events").select(F.col("event_type").alias("kriya"))), "complete")
 
 
-from . import deep, extended, located  # noqa: E402,F401  register the rest with q
+from . import deep, extended, lineal, located  # noqa: E402,F401  register the rest with q
