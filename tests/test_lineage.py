@@ -117,6 +117,7 @@ def test_fading_pairs_equal_brute_force(spark, tmp_path, files):
     rows.sort(key=lambda r: r[2] or start)
     step, schema = -(-len(rows) // files), "a int, b string, at timestamp"
     folder, path = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     half, store = dt.timedelta(hours=24), spark.conf.get(name := "spark.sql.streaming.stateStore.providerClass")
     for i in range(files):  # each start goes on from the state that the one before left
