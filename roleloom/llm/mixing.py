@@ -118,8 +118,9 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], keep: float = KEEP, tole
     to what its cell can give, ``tokens / keep``; the next round deals the cut
     mass to the others.  It ends when all marginals are met within the
     tolerance or, where no weights can meet them all, when they have settled.
-    Cells are categories, not rows: a marginal's window holds the cells of one
-    value.
+    Cells are categories, not rows.  Up to ONE_TASK of them are raked in one
+    task; more are summed by partial aggregation and joined with the sums of
+    their values, one job a marginal, with the same weights but for rounding.
     """
     head = cells.agg(F.sum("tokens"), F.count("*")).first()
     total, alone = float(head[0] or 0), head[1] <= ONE_TASK
@@ -131,11 +132,17 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], keep: float = KEEP, tole
         now = fit.coalesce(1) if alone else fit
         for _ in range(STEP):
             for d in _DIMS:
-                w = Window.partitionBy(d)
-                now = now.withColumn("have", F.sum("weight").over(w)).withColumn(f"miss_{d}", F.abs(F.col("have") - F.col(f"goal_{d}")) / F.count("*").over(w))
-                now = now.withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col(f"goal_{d}") / F.col("have")).otherwise(F.lit(0.0)))
+                if alone:
+                    w = Window.partitionBy(d)
+                    now = now.withColumns({"have": F.sum("weight").over(w), "n": F.count("*").over(w)})
+                else:  # partial sums of every task, then a join: the cells of one value never meet in one task
+                    now = now.join(now.groupBy(d).agg(F.sum("weight").alias("have"), F.count("*").alias("n")), d)
+                now = now.withColumn(f"miss_{d}", F.abs(F.col("have") - F.col(f"goal_{d}")) / F.col("n"))
+                now = now.withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col(f"goal_{d}") / F.col("have")).otherwise(F.lit(0.0))).drop("have", "n")
+                if not alone:
+                    now = materialize(now, "fit")  # both sides of the next join read it
             now = now.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(keep)))
-        fit = materialize(now.drop("have"), "fit")
+        fit = materialize(now, "fit")
         off = fit.agg(F.sum(F.col("miss_source") + F.col("miss_lang") + F.col("miss_topic"))).first()[0] / total
         if off <= tolerance or (before is not None and before - off <= tolerance):
             break

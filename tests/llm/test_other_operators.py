@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roleloom.llm import urlfilter
+from roleloom.llm import mixing, urlfilter
 from roleloom.llm.chat import DEFAULT, Template, Turn, conversation_digests, format_conversations, read_back
 from roleloom.llm.common import connected_components
 from roleloom.llm.embeddings import embedding_links
@@ -212,6 +212,20 @@ def test_goals_beyond_what_there_is(spark):
     assert everything == pytest.approx({"x": 400, "y": 100, "z": 500})
 
 
+def test_many_cells_are_raked_alike(spark, monkeypatch):
+    # one language and one source hold most cells, as when a hot key does
+    rng = random.Random(6)
+    cells = [(s, g, t, rng.randint(0, 500)) for s in "aaab" for g in "xxy" for t in "pq"]
+    cells = [(f"{s}{i}" if s == "b" else s, g, f"{t}{i}", n) for i, (s, g, t, n) in enumerate(cells)]
+    df = spark.createDataFrame(cells, CELLS)
+    goals = goals_of(df, {"lang": {"x": 1.0, "y": 2.0}}, keep=0.5)
+    one = {tuple(r)[:3]: r.weight for r in rake(df, goals, 0.5, 0.01).collect()}
+    monkeypatch.setattr(mixing, "ONE_TASK", 0)
+    many = rake(df, goals, 0.5, 0.01)
+    assert {tuple(r)[:3]: r.weight for r in many.collect()} == pytest.approx(one, rel=1e-6) and len(one) == len(cells)
+    assert many.columns == ["source", "lang", "topic", "tokens", "weight"] and "Window" not in many._jdf.queryExecution().toString()
+
+
 def test_topics(spark):
     rows = ["", None, "plain words", "Copyright, all rights", "mail a@b.c", "a|b", "return x;", "licensed {", "rights @", "copyrighted", "to\u212aen", "\u0130d"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(topic_of(F.col("t"))).collect()]
