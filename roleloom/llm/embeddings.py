@@ -22,6 +22,8 @@ SAMPLE, LEAF = 20_000, 400
 SPILL = 0.02
 #: Rows of a leaf compared in one task; larger leaves are compared block by block.
 BLOCK = 1024
+#: Leaves looked at together when a pair's first common leaf is found.
+LEAVES = 512
 SEED = 7
 
 
@@ -33,7 +35,7 @@ class Forest:
         self.spill, self.trees, self.dirs, self.leaves = spill, [], [], 0
         for _ in range(trees):
             self.trees.append(self._grow(sample, np.arange(len(sample)), leaf, rng, 0))
-        self.dirs = np.array(self.dirs).T if self.dirs else np.zeros((sample.shape[1], 0))
+        self.dirs = np.array(self.dirs) if self.dirs else np.zeros((0, sample.shape[1]))
 
     def _grow(self, x, rows, leaf, rng, depth):
         if len(rows) > max(leaf, 4) and depth < 40:
@@ -53,8 +55,11 @@ class Forest:
         return self.leaves - 1
 
     def leaves_of(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each vector the sorted numbers of its leaves."""
-        proj = x @ self.dirs
+        """For each vector the sorted numbers of its leaves.
+
+        A split projects the vectors that come to it and no others: the splits grow with the table, so a matrix of all
+        vectors and all splits would too.
+        """
         rows, numbers = [], []
 
         def down(node, at):
@@ -65,7 +70,7 @@ class Forest:
                 numbers.append(np.full(len(at), node))
                 return
             d, cut, low, high = node
-            p = proj[at, d]
+            p = x[at] @ self.dirs[d]
             down(low, at[p <= cut + self.spill])
             down(high, at[p > cut - self.spill])
 
@@ -101,6 +106,29 @@ def _router(held):
     return run
 
 
+def _shared(flat: np.ndarray, offs: np.ndarray, one: np.ndarray, two: np.ndarray, below: int):
+    """0/1 matrices of the rows ``one`` and ``two`` by the leaves under ``below`` that hold rows of both, LEAVES at a time.
+
+    Rows of one leaf meet in more and more others as the table grows, so the matrices of all would too.
+    """
+    lists = [[flat[offs[i] : offs[i + 1]] for i in at] for at in (one, two)]
+    known = np.intersect1d(*(np.concatenate(own) for own in lists))
+    known = known[known < below]
+    places = []
+    for own in lists:
+        row, inner = np.repeat(np.arange(len(own)), [len(v) for v in own]), np.concatenate(own)
+        kept = np.isin(inner, known)
+        places.append((len(own), row[kept], np.searchsorted(known, inner[kept])))
+    for k in range(0, len(known), LEAVES):
+        out = []
+        for n, row, at in places:
+            here = (at >= k) & (at < k + LEAVES)
+            held = np.zeros((n, min(LEAVES, len(known) - k)), np.float32)
+            held[row[here], at[here] - k] = 1
+            out.append(held)
+        yield out
+
+
 def _compare(threshold: float):
     """One group: the rows of a leaf in blocks a and b (a <= b); links owned by this leaf, counted for each vector."""
 
@@ -127,15 +155,10 @@ def _compare(threshold: float):
                 break
             label = new
         # a pair counts where no leaf of a smaller number holds both
-        known = np.unique(flat)
-        earlier = known[known < leaf]
-        if len(earlier):
-            owned = np.zeros((len(ids), len(earlier)), np.float32)
-            row = np.repeat(np.arange(len(ids)), np.diff(offs))
-            inner = flat[offs[0] : offs[-1]]
-            pick = inner < leaf
-            owned[row[pick], np.searchsorted(earlier, inner[pick])] = 1
-            near &= (owned[ia] @ owned[ib].T) == 0
+        if near.any():
+            ra, rb = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+            for held_a, held_b in _shared(flat, offs, ia[ra], ib[rb], leaf):
+                near[np.ix_(ra, rb)] &= (held_a @ held_b.T) == 0
         links = np.zeros(len(ids), np.int64)
         links[ia] += near.sum(1)
         if a != b:
