@@ -45,7 +45,7 @@ def canonical_text(f: dict[str, Column]) -> Column:
 
 def sentences(text: Column) -> Column:
     """STR-03: lossless split after ``.!?`` and the white space that follows."""
-    return F.regexp_extract_all(text, F.lit(r"(?s)(.+?(?:(?<=[.!?])\s+|$))"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"(?s)(.+?(?:(?<=[.!?])\s+|\z))"), F.lit(1))
 
 
 def smart_sentences(text: Column) -> Column:
