@@ -20,8 +20,12 @@ MESSAGES = ["process_text", "ask_question", "get_frames", "get_graph", "clear",
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table's Parquet files as a stream."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    """A table's Parquet files as a stream: one file or a folder of files."""
+    path = f"{sf}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
