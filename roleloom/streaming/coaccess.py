@@ -87,6 +87,44 @@ def fading_pairs(pairs: DataFrame, half: str = "90 days", least: float = 2.0, ev
     return found.select("a", "b", "what", F.timestamp_micros("us").alias("at"), "weight")
 
 
+def faded(pairs: DataFrame, half: str = "90 days", least: float = 2.0, evict: float = 0.5) -> DataFrame:
+    """AGG-21: what ``fading_pairs`` tells of ``pairs(a, b, at)`` that are all there, without keyed state.
+
+    A pair's accesses are gathered in order of time and folded.  A pair weighs at most its number of accesses, so one
+    with fewer than ``least`` is never clustered and is not folded.  An eviction without a later access counts if it
+    lies before the newest access of all.
+    """
+    if not 0 < evict < 1 or least < evict:
+        raise ValueError("0 < evict < 1 and least >= evict are needed")
+    us = int(pd.Timedelta(half).value // 1000)
+    rows = pairs.where("a is not null and b is not null and at is not null").select("a", "b", F.unix_micros(F.col("at").cast("timestamp")).alias("us"))
+    newest = rows.agg(F.max("us").alias("newest"))
+    each = rows.groupBy("a", "b").agg(F.sort_array(F.collect_list("us")).alias("times")).where(F.size("times") >= math.ceil(least))
+    event = "array<struct<what:string,us:bigint,weight:double>>"
+    tell = lambda what, at, weight: F.array(F.struct(F.lit(what).alias("what"), at.alias("us"), weight.alias("weight"))).cast(event)
+    none = F.array().cast(event)
+    end = lambda s: s["last"] + F.floor(F.lit(float(us)) * F.log2(s["weight"] / F.lit(evict))).cast("bigint")
+
+    def passed(s, t):
+        """Time goes on to t: the state before the access at t, evicted where it has faded."""
+        gone = F.coalesce(t >= end(s), F.lit(False))
+        weight = F.when(gone | s["last"].isNull(), F.lit(0.0)).otherwise(s["weight"] * F.pow(F.lit(2.0), (s["last"] - t) / F.lit(float(us))))
+        out = F.when(gone & s["told"], tell("EVICTED", end(s), F.lit(evict))).otherwise(none)
+        return F.struct((weight + 1.0).alias("weight"), t.alias("last"), (s["told"] & ~gone).alias("told"), F.concat(s["out"], out).alias("out"))
+
+    def risen(s):
+        rose = ~s["told"] & (s["weight"] >= least)
+        out = F.concat(s["out"], F.when(rose, tell("CLUSTERED", s["last"], s["weight"])).otherwise(none))
+        return F.struct(s["weight"].alias("weight"), s["last"].alias("last"), (s["told"] | rose).alias("told"), out.alias("out"))
+
+    start = F.struct(F.lit(0.0).alias("weight"), F.lit(None).cast("bigint").alias("last"), F.lit(False).alias("told"), none.alias("out"))
+    # a one-element transform names the state between both steps, so that it is computed once
+    step = lambda s, t: F.element_at(F.transform(F.array(passed(s, t)), risen), 1)
+    folded = each.select("a", "b", F.aggregate("times", start, step).alias("s")).crossJoin(F.broadcast(newest))
+    last = F.when(F.col("s.told") & (end(F.col("s")) < F.col("newest")), tell("EVICTED", end(F.col("s")), F.lit(evict))).otherwise(none)
+    return folded.select("a", "b", F.inline(F.concat("s.out", last))).select("a", "b", "what", F.timestamp_micros("us").alias("at"), "weight")
+
+
 def start_fading(stream: DataFrame, path: str) -> StreamingQuery:
     """Starts what ``fading_pairs`` gave, into ``path``/table; the state store is set for this query alone."""
     conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
