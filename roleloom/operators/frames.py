@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,15 +80,73 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, ran
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+#: Rows and queries that are compared in one task, and queries at once within it.
+ROWS, ASKED, AT_ONCE = 8192, 2048, 256
+
+
+def _best(k: int, metric: str):
+    """The k nearest rows of a block for each query of a block: a matrix product finds the candidates, the distances of
+    these are summed component by component like ``text.squared_distance`` and ``text.cosine``."""
+
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        v = table[name].combine_chunks()
+        return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+    def norms(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+
+    def run(_, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = {"query_id": [], "vec_id": [], "d": []}
+        if rows.num_rows and asked.num_rows:
+            ids, names, x, q = rows["vec_id"].to_numpy(), asked["query_id"].to_numpy(), matrix(rows, "v"), matrix(asked, "v")
+            nx, nq = norms(x), norms(q)
+            for at in range(0, len(q), AT_ONCE):
+                part, n = q[at : at + AT_ONCE], nq[at : at + AT_ONCE]
+                near = part @ x.T
+                near = n[:, None] ** 2 + nx**2 - 2 * near if metric == "l2" else -near / (n[:, None] * nx)
+                near[names[at : at + AT_ONCE, None] == ids] = np.inf
+                most = np.partition(near, k - 1, axis=1)[:, k - 1] if len(ids) >= k else np.full(len(part), np.inf)
+                # far more than what rounding can do
+                most = most + 1e-9 * (n**2 + nx.max() ** 2 if metric == "l2" else 1)
+                for i, name in enumerate(names[at : at + AT_ONCE]):
+                    found = np.flatnonzero((near[i] <= most[i]) & (ids != name))
+                    y = x[found]
+                    if metric == "l2":
+                        d = np.cumsum((y - part[i]) * (y - part[i]), axis=1)[:, -1]
+                    else:
+                        d = -(np.cumsum(y * part[i], axis=1)[:, -1] / (nx[found] * n[i]))
+                    first = np.lexsort((ids[found], d))[:k]
+                    out["query_id"].append(np.full(len(first), name))
+                    out["vec_id"].append(ids[found][first])
+                    out["d"].append(d[first])
+        return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.float64() if c == "d" else pa.int64()) for c, v in out.items()})
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """TOP-03/04: the k nearest vectors of every query, itself left out, against all rows in one pass.
+    """TOP-03/04: the k nearest vectors of every query, itself left out, among all rows.
 
-    ``queries`` is a stated set; it is broadcast if its size allows.
+    ``queries`` is a stated set.  Blocks of rows meet blocks of queries, so the work grows with rows times queries but a
+    task's does not.  Vectors of another length than most, with null, non-finite or very large components, or (cosine)
+    a norm of about zero are compared by expressions: whose distance is null comes first.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.join(F.broadcast(q) if q.count() <= 10_000 else q, F.col("vec_id") != F.col("query_id"))
-    d = text.squared_distance(F.col("embedding"), F.col("q")) if metric == "l2" else -text.cosine(F.col("embedding"), F.col("q"))
-    near = pairs.select("query_id", "vec_id", d.alias("d"))
+    v = vectors.select(F.col("vec_id").alias("id"), "embedding").where("id is not null")
+    usual = v.groupBy(F.size("embedding").alias("size")).count().where("size > 0").orderBy(F.desc("count"), "size").first()
+    v = v.withColumn("v", F.col("embedding").cast("array<double>"))
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    plain = F.coalesce((F.size("v") == (usual["size"] if usual else 0)) & (length < 1e100) & (length >= (0.0 if metric == "l2" else 1e-100)), F.lit(False))
+    v = v.withColumn("plain", plain)
+    q = queries.select(F.col("vec_id").alias("query_id"), "embedding").where("query_id is not null").withColumn("v", F.col("embedding").cast("array<double>")).withColumn("plain", plain)
+    n_rows, n_asked = max(1, -(-v.count() // ROWS)), max(1, -(-q.count() // ASKED))
+    some = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    rows = v.where("plain").select(F.col("id").cast("bigint").alias("vec_id"), "v", dealt("id", n_rows).alias("r"), some(n_asked).alias("s"))
+    asked = q.where("plain").select(F.col("query_id").cast("bigint").alias("query_id"), "v", dealt("query_id", n_asked).alias("s"), some(n_rows).alias("r"))
+    near = rows.groupBy("r", "s").cogroup(asked.groupBy("r", "s")).applyInArrow(_best(k, metric), "query_id bigint, vec_id bigint, d double")
+    d = text.squared_distance(F.col("v.embedding"), F.col("q.embedding")) if metric == "l2" else -text.cosine(F.col("v.embedding"), F.col("q.embedding"))
+    odd = lambda a, b: a.alias("v").join(b.alias("q"), F.col("id") != F.col("query_id")).select("query_id", F.col("id").alias("vec_id"), d.alias("d"))
+    near = near.union(odd(v.where("not plain"), q)).union(odd(v.where("plain"), q.where("not plain")))
     return top_per(near, ["query_id"], [F.col("d"), F.col("vec_id")], k).select("query_id", "vec_id", "rank")
 
 
