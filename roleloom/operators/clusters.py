@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import equivalence, stored
 
+#: Pairs that one task counts.
+PAIRS = 250_000
+
 
 def _reads(accesses: DataFrame) -> DataFrame:
     return accesses.where("query is not null and frame is not null").select("query", "frame").distinct()
 
 
 def _pairs(reads: DataFrame, keys: list[str]) -> DataFrame:
-    """``a, b, n``: how many queries read both frames, of those that agree in ``keys``; ``a < b``."""
-    other = reads.select(*keys, F.col("frame").alias("b"))
-    both = reads.select(*keys, F.col("frame").alias("a")).join(other, keys).where("a < b")
-    return both.groupBy(*[k for k in keys if k != "query"], "a", "b").agg(F.count("*").alias("n"))
+    """``a, b, n``: how many queries read both frames, of those that agree in ``keys``; ``a < b``.
+
+    Pairs are counted in as many parts as their number asks for, so a task holds about PAIRS of them at any size.
+    """
+    conf = reads.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    per = reads.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = per.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    parts = max(int(conf), math.ceil(total / PAIRS))
+    dealt = reads.repartition(parts, *keys)
+    other = dealt.select(*keys, F.col("frame").alias("b"))
+    both = dealt.select(*keys, F.col("frame").alias("a")).join(other, keys).where("a < b")
+    named = [*(k for k in keys if k != "query"), "a", "b"]
+    # few pairs repeat within a task: they are dealt as they are, not summed up before
+    return both.select(*named).repartition(parts, *named).groupBy(*named).agg(F.count("*").alias("n"))
 
 
 def co_accesses(accesses: DataFrame, least: int) -> DataFrame:
@@ -28,7 +43,7 @@ def co_accesses(accesses: DataFrame, least: int) -> DataFrame:
     """
     reads = _reads(accesses)
     often = reads.groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("frame")
-    return _pairs(reads.join(often, "frame", "left_semi"), ["query"]).where(F.col("n") >= least)
+    return _pairs(stored(reads.join(often, "frame", "left_semi")), ["query"]).where(F.col("n") >= least)
 
 
 def clusters(accesses: DataFrame, least: int, evict: float) -> DataFrame:
