@@ -108,7 +108,7 @@ def _(s, d):
     f = f.select("frame_id", "doc_id", "line", "kriya", graphwriter.role_map(f).alias("roles"), F.lit(None).cast("array<struct<pronoun:string,referent:string,context:string>>").alias("hints"))
     path = shared_folder(s, "graph")
     graphwriter.write_graph(f, path, "documents")
-    return graphwriter.read_graph(s, path).groupBy("kind", "type", "relation").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("dst").alias("dsts"))
+    return graphwriter.tally(graphwriter.read_graph(s, path))
 
 
 @q(
