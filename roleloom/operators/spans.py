@@ -59,17 +59,11 @@ def alignment(docs: DataFrame, least: float = 0.95, most_off: int = 10) -> DataF
     characters are most alike, if its score exceeds ``least``.  Returns ``doc_id, n_sentences, n_placed, n_covered,
     coverage, length_diff, aligned``; aligned: coverage over ``least`` and less than ``most_off`` characters
     between the lengths.  A null text or list counts as empty; an empty text has coverage 0.  ``doc_id`` must be unique.
+    Each row is judged by itself; nothing is shuffled.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.filter(F.coalesce("sentences", F.array().cast("array<string>")), lambda x: x != "").alias("sentences"))
-    places = F.transform("sentences", lambda x: F.struct(x.alias("sentence"), F.instr(F.col("text"), x).alias("place")))
-    p = d.withColumn("places", places)
-    spot = p.select("doc_id", F.explode(F.filter("places", lambda x: x["place"] > 0)).alias("p"))
-    exact = spot.select("doc_id", (F.col("p.place") - 1).alias("start"), (F.col("p.place") - 1 + F.length("p.sentence")).alias("stop"))
-    lost = p.select("doc_id", "text", F.explode(F.filter("places", lambda x: x["place"] == 0)).alias("p"))
-    alike = lost.select("doc_id", align.best_substring("text", F.col("p.sentence")).alias("b")).where(F.col("b.score") > least).select("doc_id", "b.start", "b.stop")
-    spans = exact.union(alike)
-    sums = covered(spans).join(spans.groupBy("doc_id").agg(F.count("*").alias("n_placed")), "doc_id")
     size = F.aggregate("sentences", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-    told = d.select("doc_id", F.length("text").cast("bigint").alias("n"), F.size("sentences").cast("bigint").alias("n_sentences"), size.alias("size")).join(sums, "doc_id", "left")
-    told = told.fillna(0, ["n_covered", "n_placed"]).withColumn("coverage", F.when(F.col("n") > 0, F.col("n_covered") / F.col("n")).otherwise(F.lit(0.0))).withColumn("length_diff", F.abs(F.col("n") - F.col("size")))
+    told = d.select("doc_id", F.length("text").cast("bigint").alias("n"), F.size("sentences").cast("bigint").alias("n_sentences"), size.alias("size"), align.cover("text", "sentences", F.lit(float(least))).alias("c"))
+    told = told.select("doc_id", "n", "n_sentences", "size", "c.*")
+    told = told.withColumn("coverage", F.when(F.col("n") > 0, F.col("n_covered") / F.col("n")).otherwise(F.lit(0.0))).withColumn("length_diff", F.abs(F.col("n") - F.col("size")))
     return told.select("doc_id", "n_sentences", "n_placed", "n_covered", "coverage", "length_diff", ((F.col("coverage") > least) & (F.col("length_diff") < most_off)).alias("aligned"))
